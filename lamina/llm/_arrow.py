@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))

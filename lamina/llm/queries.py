@@ -23,6 +23,18 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import substring
+
+    return substring.digests(documents(spark, sf_dir))
+
+
+def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import suffix
+
+    return suffix.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
