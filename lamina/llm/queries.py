@@ -35,6 +35,18 @@ def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(documents(spark, sf_dir))
 
 
+def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import toxicity
+
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import licenses
+
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
