@@ -29,6 +29,8 @@ from lamina.llm import _arrow as A
 from lamina.llm._session import partitions
 
 LAST = (1 << 63) - 1
+#: Text whose records are made at a time.
+GROUP_BYTES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -113,7 +115,7 @@ def pack(*columns: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     raw = memoryview(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(raw, "<i8", n, 8), 8 * (n + 1), []
@@ -123,24 +125,13 @@ def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def by_row(k: np.ndarray, h: np.ndarray, row: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One record (k, h, payload) for each row that has values."""
-    order = np.argsort(row, kind="stable")
-    row, values = row[order], values[order]
-    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    ends = np.r_[at, len(row)] * values.dtype.itemsize
-    payload = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.array(k[row[at]]), pa.array(h[row[at]]), payload], names=["bucket", "k", "h", "payload"])
-
-
-def dealt(bucket: np.ndarray, keys: np.ndarray, make: Callable[[np.ndarray], bytes]) -> pa.RecordBatch:
+def dealt(bucket: np.ndarray, keys: np.ndarray, make: Callable[[np.ndarray], bytes], settled: bool = False) -> pa.RecordBatch:
     """One packed record for each bucket that has entries; make gets their positions."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
     used = np.flatnonzero(np.diff(cuts))
     blobs = [make(order[cuts[b] : cuts[b + 1]]) for b in used]
-    none = pa.nulls(len(used), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(keys[used].astype(np.int32)), none, none, pa.array(blobs, pa.binary())], names=["bucket", "k", "h", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(keys[used].astype(np.int32)), pa.array(np.full(len(used), settled)), pa.array(blobs, pa.binary())], names=["bucket", "settled", "payload"])
 
 
 def table(rows: np.ndarray, k: np.ndarray, h: np.ndarray):
@@ -175,7 +166,19 @@ def factors(again: np.ndarray, row: np.ndarray, start: np.ndarray, doc: np.ndarr
     return row[head], out
 
 
-RECORD = "bucket int, k long, h long, payload binary"
+FOUND = "k long, h long, found binary"
+RECORD = "bucket int, settled boolean, payload binary"
+
+
+def for_documents(row: np.ndarray, values: np.ndarray, k: np.ndarray, h: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Settled values, packed and dealt by the document of their row."""
+    bucket = (A.mix(k.view(np.uint64) ^ A.mix(h.view(np.uint64))) % A.U(len(keys))).astype(np.int64)
+
+    def make(at: np.ndarray) -> bytes:
+        ks, hs, place = table(row[at], k, h)
+        return pack(values[at], place, ks, hs)
+
+    return dealt(bucket[row], keys, make, True)
 
 
 def columns(batch: pa.RecordBatch):
@@ -189,47 +192,53 @@ def pivots(how: Symbols, keys: np.ndarray):
         for batch in batches:
             k, h = columns(batch)
             data, offsets = A.buffer(A.rows(batch, "text"))
-            got = []
-            for i, j in A.slices(offsets):
-                base = offsets[i]
-                symbols, by, _ = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
-                first, count, pivot, row = stretches(symbols, by, how)
-                own = self_repeating(symbols, first, count, how) if how.within else np.zeros(len(first), bool)
-                got.append((pivot, row + i, (first - by[row]).astype("<u4"), own))
-            if not got:
-                continue
-            pivot, row, start, own = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(pivot, kind="stable")
-            pivot, row, start, own = pivot[order], row[order], start[order], own[order]
-            group = groups(pivot)
-            if not len(group):
-                continue
-            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            if how.within:
-                shared = (np.diff(np.r_[head, len(group)]) > 1) | np.logical_or.reduceat(own, head)
-            else:
-                shared = np.minimum.reduceat(k[row], head) != np.maximum.reduceat(k[row], head)
-            here = shared[group]
-            yield by_row(k, h, row[here], start[here])
-            pivot, row, start = pivot[head], row[head], start[head]
+            for span in A.slices(offsets, GROUP_BYTES):
+                yield from one(k, h, data, offsets, *span)
+
+    def one(k, h, data, offsets, low, high) -> Iterator[pa.RecordBatch]:
+        got = []
+        for i, j in A.slices(offsets[low : high + 1]):
+            i, j = i + low, j + low
+            base = offsets[i]
+            symbols, by, _ = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
+            first, count, pivot, row = stretches(symbols, by, how)
+            own = self_repeating(symbols, first, count, how) if how.within else np.zeros(len(first), bool)
+            got.append((pivot, row + i, (first - by[row]).astype("<u4"), own))
+        pivot, row, start, own = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(pivot, kind="stable")
+        pivot, row, start, own = pivot[order], row[order], start[order], own[order]
+        group = groups(pivot)
+        if not len(group):
+            return
+        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        if how.within:
+            shared = (np.diff(np.r_[head, len(group)]) > 1) | np.logical_or.reduceat(own, head)
+        else:
+            shared = np.minimum.reduceat(k[row], head) != np.maximum.reduceat(k[row], head)
+        here = shared[group]
+        yield for_documents(row[here], start[here], k, h, keys)
+        # one for each group that is settled; the others are of one document, and each must hear
+        sent = ~here
+        sent[head] = True
+        shared, pivot, row, start = here[sent], pivot[sent], row[sent], start[sent]
 
-            def make(at: np.ndarray) -> bytes:
-                ks, hs, place = table(row[at], k, h)
-                return pack(pivot[at], place, start[at], shared[at], ks, hs)  # noqa: B023
+        def make(at: np.ndarray) -> bytes:
+            ks, hs, place = table(row[at], k, h)
+            return pack(pivot[at], place, start[at], shared[at], ks, hs)
 
-            yield dealt((A.mix(pivot) % A.U(len(keys))).astype(np.int64), keys, make)
+        yield dealt((A.mix(pivot) % A.U(len(keys))).astype(np.int64), keys, make)
 
     return run
 
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list[str]):
+def gather(batches: Iterator[pa.RecordBatch], kinds: list, every: bool = False):
     """Packed records of a partition, columns joined; the last two kinds are the tables of k and h, the one at index 1 points into them. Second result: records that were settled before."""
     parts, base, settled = [], 0, []
     for batch in batches:
-        done = np.asarray(batch.column(0).is_null())
-        if done.any():
+        done = np.asarray(batch.column(1))
+        if done.any() and not every:
             settled.append(batch.filter(pa.array(done)))
-        for blob in batch.column(3).filter(pa.array(~done)):
+        for blob in batch.column(2) if every else batch.column(2).filter(pa.array(~done)):
             part = unpack(blob.as_py(), kinds)
             part[1] = part[1].astype(np.int64) + base
             base += len(part[-1])
@@ -237,7 +246,7 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: list[str]):
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None, settled
 
 
-def shared_pivots(how: Symbols):
+def shared_pivots(how: Symbols, keys: np.ndarray):
     """Pass 1, reduce side: where the pivots are that occur in more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,19 +264,41 @@ def shared_pivots(how: Symbols):
         else:
             shared |= np.minimum.reduceat(k[row], head) != np.maximum.reduceat(k[row], head)
         here = shared[group] & ~known
-        yield by_row(k, h, row[here], start[order][here])
+        yield for_documents(row[here], start[order][here], k, h, keys)
 
     return run
 
 
-def lists(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Packed values of a column of lists of binaries, and their offsets by row; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = np.dtype(kind).itemsize
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)).astype(np.int64)) if len(column) else np.zeros(0, np.int64)
-    data, offsets = A.buffer(column.flatten())
-    return np.frombuffer(data.tobytes(), kind), offsets[np.r_[0, ends]] // size
+def by_document(kind):
+    """All settled values of each document, as one record (k, h, found)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, _ = gather(batches, [kind, "<u4", "<i8", "<i8"], True)
+        if got is None:
+            return
+        values, entry, k, h = got
+        order = np.lexsort((h, k))
+        fresh = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])]
+        document = np.empty(len(k), np.int64)
+        document[order] = np.cumsum(fresh) - 1
+        head = order[fresh]
+        of = document[entry]
+        turn = np.argsort(of, kind="stable")
+        ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(head)))] * values.dtype.itemsize
+        values = values[turn]
+        for i in range(0, len(head), 4096):
+            j = min(len(head), i + 4096)
+            part = values[ends[i] // values.dtype.itemsize : ends[j] // values.dtype.itemsize]
+            found = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32).tobytes()), pa.py_buffer(part.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(k[head[i:j]]), pa.array(h[head[i:j]]), found], names=["k", "h", "found"])
+
+    return run
+
+
+def listed(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Packed values of a column, and their offsets by row; null counts as none."""
+    data, offsets = A.buffer(column)
+    return np.frombuffer(data.tobytes(), kind), offsets // np.dtype(kind).itemsize
 
 
 def candidates(how: Symbols, keys: np.ndarray, settle):
@@ -277,56 +308,59 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
         for batch in batches:
             k, h = columns(batch)
             data, offsets = A.buffer(A.rows(batch, "text"))
-            flags, by_flag = lists(A.rows(batch, "found"), "<u4")
+            flags, by_flag = listed(A.rows(batch, "found"), "<u4")
             flag_row = np.repeat(np.arange(len(k)), np.diff(by_flag))
             wanted = np.sort((flag_row << 32) | flags)
-            got = []
-            for i, j in A.slices(offsets):
-                base = offsets[i]
-                symbols, by, _ = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
-                first, count, pivot, row = stretches(symbols, by, how)
-                mark = ((row + i) << 32) | (first - by[row])
-                at = np.searchsorted(wanted, mark)
-                keep = np.r_[wanted, -1][at] == mark
-                first, count, pivot, row = first[keep], count[keep], pivot[keep], row[keep]
-                ends = np.cumsum(count)
-                index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
-                each = np.repeat(np.arange(len(first)), count)
-                text_at = index + base if how.content else np.zeros(0, np.int64)
-                got.append((A.roll(symbols, how.length)[index], np.repeat(pivot, count), row[each] + i, index - by[row[each]], text_at))
-            if not got:
-                continue
-            window, pivot, row, start, text_at = (np.concatenate(x) for x in zip(*got, strict=True))
-            if not len(window):
-                continue
-            again, *source = settle(window, k[row], start)
-            yield by_row(k, h, *factors(again, row, start, *source))
-            left = np.flatnonzero(~again)
-            if not len(left):
-                continue
-            window, pivot, row, start = window[left], pivot[left], row[left], start[left]
-            text_at = text_at[left] if how.content else text_at
-            head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (pivot[1:] != pivot[:-1])])
-            count = np.diff(np.r_[head, len(row)])
-
-            def make(at: np.ndarray) -> bytes:
-                ks, hs, place = table(row[head[at]], k, h)
-                ends = np.cumsum(count[at])
-                index = np.arange(ends[-1]) + np.repeat(head[at] - (ends - count[at]), count[at])
-                if how.content:
-                    size = count[at] + how.length - 1
-                    ends = np.cumsum(size)
-                    body = data[np.arange(ends[-1]) + np.repeat(text_at[head[at]] - (ends - size), size)]
-                else:
-                    body = window[index]  # noqa: B023
-                return pack(count[at].astype("<u4"), place, start[head[at]].astype("<u4"), body, ks, hs)  # noqa: B023
-
-            yield dealt((A.mix(pivot[head]) % A.U(len(keys))).astype(np.int64), keys, make)
+            for span in A.slices(offsets, GROUP_BYTES):
+                yield from one(k, h, data, offsets, wanted, *span)
+
+    def one(k, h, data, offsets, wanted, low, high) -> Iterator[pa.RecordBatch]:
+        got = []
+        for i, j in A.slices(offsets[low : high + 1]):
+            i, j = i + low, j + low
+            base = offsets[i]
+            symbols, by, _ = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
+            first, count, pivot, row = stretches(symbols, by, how)
+            mark = ((row + i) << 32) | (first - by[row])
+            at = np.searchsorted(wanted, mark)
+            keep = np.r_[wanted, -1][at] == mark
+            first, count, pivot, row = first[keep], count[keep], pivot[keep], row[keep]
+            ends = np.cumsum(count)
+            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+            each = np.repeat(np.arange(len(first)), count)
+            text_at = index + base if how.content else np.zeros(0, np.int64)
+            got.append((A.roll(symbols, how.length)[index], np.repeat(pivot, count), row[each] + i, index - by[row[each]], text_at))
+        window, pivot, row, start, text_at = (np.concatenate(x) for x in zip(*got, strict=True))
+        if not len(window):
+            return
+        again, *source = settle(window, k[row], start)
+        yield for_documents(*factors(again, row, start, *source), k, h, keys)
+        left = np.flatnonzero(~again)
+        if not len(left):
+            return
+        window, pivot, row, start = window[left], pivot[left], row[left], start[left]
+        text_at = text_at[left] if how.content else text_at
+        head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (pivot[1:] != pivot[:-1])])
+        count = np.diff(np.r_[head, len(row)])
+
+        def make(at: np.ndarray) -> bytes:
+            ks, hs, place = table(row[head[at]], k, h)
+            ends = np.cumsum(count[at])
+            index = np.arange(ends[-1]) + np.repeat(head[at] - (ends - count[at]), count[at])
+            if how.content:
+                size = count[at] + how.length - 1
+                ends = np.cumsum(size)
+                body = data[np.arange(ends[-1]) + np.repeat(text_at[head[at]] - (ends - size), size)]
+            else:
+                body = window[index]
+            return pack(count[at].astype("<u4"), place, start[head[at]].astype("<u4"), body, ks, hs)
+
+        yield dealt((A.mix(pivot[head]) % A.U(len(keys))).astype(np.int64), keys, make)
 
     return run
 
 
-def resolved(how: Symbols, settle):
+def resolved(how: Symbols, keys: np.ndarray, settle):
     """Pass 2, reduce side: windows that repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +381,10 @@ def resolved(how: Symbols, settle):
         else:
             window = body
         done = np.cumsum(count)
-        each = np.repeat(np.arange(len(count)), count)
-        start = np.arange(done[-1]) + np.repeat(start.astype(np.int64) - (done - count), count)
-        row = row[each]
+        start = (np.arange(done[-1]) + np.repeat(start.astype(np.int64) - (done - count), count)).astype(np.uint32)
+        row = np.repeat(row.astype(np.int32), count)
         again, *source = settle(window, k[row], start)
-        yield by_row(k, h, *factors(again, row, start, *source))
+        yield for_documents(*factors(again, row, start, *source), k, h, keys)
 
     return run
 
@@ -370,12 +403,11 @@ def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_colum
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    first = base.mapInArrow(pivots(how, keys), RECORD)
-    found = _dealt(first, n).mapInArrow(shared_pivots(how), RECORD)
-    found = found.groupBy("k", "h").agg(F.collect_list("payload").alias("found"))
-    second = base.join(found, ["k", "h"]).mapInArrow(candidates(how, keys, settle), RECORD)
-    marked = _dealt(second, n).mapInArrow(resolved(how, settle), RECORD)
-    marked = marked.groupBy("k", "h").agg(F.collect_list("payload").alias("found"))
+    kind = FACTOR if how.within else SPAN
+    first = base.mapInArrow(pivots(how, keys), RECORD).repartition(n, "bucket")
+    found = first.mapInArrow(shared_pivots(how, keys), RECORD).repartition(n, "bucket").mapInArrow(by_document("<u4"), FOUND)
+    second = base.join(found, ["k", "h"]).mapInArrow(candidates(how, keys, settle), RECORD).repartition(n, "bucket")
+    marked = second.mapInArrow(resolved(how, keys, settle), RECORD).repartition(n, "bucket").mapInArrow(by_document(kind), FOUND)
     out = base.join(marked, ["k", "h"], "left").mapInArrow(finish, schema)
     return out.withColumn("k", F.when(F.col("k") != LAST, F.col("k"))).withColumnRenamed("k", id_column)
 
@@ -392,9 +424,3 @@ def covered(offsets: np.ndarray, spans: np.ndarray, by_span: np.ndarray, i: int,
 
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(flags)][offsets])
-
-
-def _dealt(records: DataFrame, n: int) -> DataFrame:
-    """Packed records by bucket; settled ones by document."""
-    where = F.coalesce("bucket", F.pmod(F.xxhash64("k", "h"), F.lit(1 << 20)).cast("int"))
-    return records.withColumn("w", where).repartition(n, "w").drop("w")

@@ -55,7 +55,7 @@ def finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.buffer(A.rows(batch, "text"))
-            found, by_span = R.lists(A.rows(batch, "found"), R.FACTOR)
+            found, by_span = R.listed(A.rows(batch, "found"), R.FACTOR)
             n_words, n_removed, texts, sizes = [], [], [], []
             for i, j in A.slices(offsets):
                 base = offsets[i]

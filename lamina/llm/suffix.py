@@ -77,7 +77,7 @@ def finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.buffer(A.rows(batch, "text"))
-            spans, by_span = R.lists(A.rows(batch, "found"), R.SPAN)
+            spans, by_span = R.listed(A.rows(batch, "found"), R.SPAN)
             gone, counts, runs, begins, sizes = [], [], [], [], []
             for i, j in A.slices(offsets):
                 own = offsets[i : j + 1] - offsets[i]

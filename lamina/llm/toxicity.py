@@ -4,10 +4,10 @@ Two bigram models, one of toxic and one of ordinary texts, each with
 interpolated Kneser-Ney smoothing: bigrams back off to the class's
 continuation counts, and these to word counts over the whole corpus that both
 classes share, so an expression that neither class has seen says nothing about
-either. A text's evidence is the difference of its two log-likelihoods, over
-its words (length-normalised) and over its most toxic short window; a logistic
-curve, fitted on labelled rows that the models have not seen, makes it a
-probability.
+either. A text's evidence is the difference of its two log-likelihoods over its
+words (length-normalised), and the differences of its second and fourth most
+toxic words, which long texts do not dilute; a logistic curve, fitted on
+labelled rows that the models have not seen, makes it a probability.
 
 Labelled rows fall into five folds by crc32 of the id's text: fold 0 is held
 out, folds 1 to 3 train the models on at most `per_class` rows of each class,
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
 
-DISCOUNT = 0.75
-WINDOW = 8
+DISCOUNT = 0.95
+RANKS = (2, 4)
 
 
 def read(data: np.ndarray, offsets: np.ndarray):
@@ -56,19 +56,17 @@ def place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log-ratios toxic to ordinary: by[w] of backed-off words, of[v] of backing off after v (one more entry each for unknown words), and of the bigrams that were seen."""
+    """Log-ratios toxic to ordinary: of words (one more entry for unknown ones) and of the bigrams that are frequent enough."""
 
     words: np.ndarray
     by: np.ndarray
-    of: np.ndarray
     pairs: np.ndarray
     ratio: np.ndarray
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per row: mean ratio over its words, and the greatest mean over `WINDOW` consecutive ones (or over a shorter text)."""
+        """Per row: mean ratio of its words, and the ratios of its words of each rank in RANKS, most toxic first (0 if it has fewer)."""
         h, by = read(data, offsets)
-        n = len(offsets) - 1
-        out = np.zeros((n, 2))
+        out = np.zeros((len(offsets) - 1, 1 + len(RANKS)))
         size = np.diff(by)
         if not len(h):
             return out
@@ -76,22 +74,23 @@ class Model:
         each = self.by[at]
         first = np.zeros(len(h), bool)
         first[by[:-1][size > 0]] = True
-        seen = np.flatnonzero((at[1:] < len(self.words)) & (at[:-1] < len(self.words)) & ~first[1:])
-        where = place(self.pairs, pair(h[seen], h[seen + 1]))
-        backed = each[seen + 1] + self.of[at[seen]]
-        each[seen + 1] = np.where(where < len(self.pairs), np.r_[self.ratio, 0.0][where], backed)
-        total = np.r_[0.0, np.cumsum(each)]
+        after = np.flatnonzero((at < len(self.words)) & ~first)
+        where = place(self.pairs, pair(h[after - 1], h[after]))
+        seen = where < len(self.pairs)
+        each[after[seen]] = self.ratio[where[seen]]
         some = size > 0
+        total = np.r_[0.0, np.cumsum(each)]
         out[some, 0] = (total[by[1:]] - total[by[:-1]])[some] / size[some]
-        row = np.repeat(np.arange(n), size)
-        stop = np.minimum(np.arange(len(h)) + WINDOW, by[1:][row])
-        begin = np.maximum(stop - WINDOW, by[:-1][row])
-        out[some, 1] = np.maximum.reduceat((total[stop] - total[begin]) / np.minimum(WINDOW, size[row]), by[:-1][some])
+        row = np.repeat(np.arange(len(size)), size)
+        ranked = each[np.lexsort((-each, row))]
+        for i, rank in enumerate(RANKS):
+            enough = size >= rank
+            out[enough, 1 + i] = ranked[by[:-1][enough] + rank - 1]
         return out
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """Bigram counts (v, w, n) of a class; v is 0 at the start of a text."""
+    """In how many texts of a class each bigram is (c, v, w, n); v is 0 at the start of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,10 +101,14 @@ def counts(docs: DataFrame) -> DataFrame:
                 before = np.r_[A.U(0), h[:-1]] if len(h) else h
                 size = np.diff(by)
                 before[by[:-1][size > 0]] = 0
-                kind = np.repeat(label[i:j], size)
-                order = np.lexsort((h, before, kind))
-                v, w, c = before[order], h[order], kind[order]
-                head = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])]) if len(v) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(i, j), size)
+                order = np.lexsort((h, before, row))
+                v, w, r = before[order], h[order], row[order]
+                once = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (r[1:] != r[:-1])]) if len(v) else np.zeros(0, np.int64)
+                v, w, c = v[once], w[once], label[r[once]]
+                order = np.lexsort((w, v, c))
+                v, w, c = v[order], w[order], c[order]
+                head = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])]) if len(v) else once
                 n = np.diff(np.r_[head, len(v)])
                 yield pa.RecordBatch.from_arrays([pa.array(c[head]), pa.array(v[head].view(np.int64)), pa.array(w[head].view(np.int64)), pa.array(n)], names=["c", "v", "w", "n"])
 
@@ -133,7 +136,7 @@ def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(out.sum())
 
 
-def fit_models(docs: DataFrame, corpus: DataFrame, discount: float = DISCOUNT) -> Model | None:
+def fit_models(docs: DataFrame, corpus: DataFrame, discount: float = DISCOUNT, least: int = 5) -> Model | None:
     """docs: text and toxic of the training rows. Tables: an entry for each word and bigram of these, whose number is bounded."""
     got = counts(docs).toArrow()
     c, v, w, n = (np.asarray(got.column(x).combine_chunks() if got.num_rows else got.column(x)) for x in ("c", "v", "w", "n"))
@@ -144,38 +147,31 @@ def fit_models(docs: DataFrame, corpus: DataFrame, discount: float = DISCOUNT) -
     shared, total = shared_counts(corpus, words)
     known = np.maximum(shared[:-1], 1)
     base = np.r_[known, max(shared[-1], 1.0) / max(1, len(words))] / max(total, 1)  # unknown words share what is left
-    logs, after, chance = [], [], []
+    pairs, times = pair(v, w), n.astype(float)
+    every, of_pair = np.unique(pairs, return_inverse=True)
+    often = np.bincount(of_pair, times) >= least  # rarer bigrams are left to the words' own counts
+    often &= np.bincount(of_pair, place(words, v) < len(words)) > 0
+    every = every[often]
+    by_word, backing, seen = [], [], []
     for kind in (1, 0):
         mine = c == kind
-        at, before, times = np.searchsorted(words, w[mine]), place(words, v[mine]), n[mine].astype(float)
+        at, before, many = np.searchsorted(words, w[mine]), place(words, v[mine]), times[mine]
         new = np.bincount(at, minlength=len(words) + 1)  # continuation counts: distinct words before w
-        types = new.sum()
-        one = np.maximum(new - discount, 0) / types + discount * (new > 0).sum() / types * base
-        follow = np.bincount(before, times, minlength=len(words) + 1)
+        one = np.maximum(new - discount, 0) / new.sum() + discount * (new > 0).sum() / new.sum() * base
+        follow = np.bincount(before, many, minlength=len(words) + 1)
         kinds = np.bincount(before, minlength=len(words) + 1)
         rest = np.where(follow > 0, discount * kinds / np.maximum(follow, 1), 1.0)
-        logs.append(np.log(one))
-        after.append(np.log(rest))
-        chance.append((at, before, times, one, follow, rest, v[mine], w[mine]))
-    pairs, ratio = [], []
-    every = np.unique(np.concatenate([pair(x[6], x[7])[(x[1] < len(words)) & (x[2] > 1)] for x in chance]))
-    values = []
-    for (at, before, times, one, follow, rest, left, right), kind in zip(chance, (1, 0), strict=True):
-        key = pair(left, right)
-        order = np.argsort(key)
-        where = place(key[order], every)
-        hit = where < len(key)
-        times_of = np.zeros(len(every))
-        times_of[hit] = times[order][where[hit]]
-        values.append((times_of, hit, order, where, at, before, one, follow, rest))
-    a, b = np.full(len(every), -1), np.full(len(every), -1)
-    for times_of, hit, order, where, at, before, *_ in values:
-        a[hit], b[hit] = before[order][where[hit]], at[order][where[hit]]
-    made = []
-    for times_of, _, _, _, _, _, one, follow, rest in values:
-        made.append(np.log(np.maximum(times_of - discount, 0) / np.maximum(follow[a], 1) + rest[a] * one[b]))
-    pairs, ratio = every, made[0] - made[1]
-    return Model(words, logs[0] - logs[1], after[0] - after[1], pairs, ratio)
+        held = np.zeros(len(every) + 1)
+        np.add.at(held, place(every, pairs[mine]), many)
+        by_word.append(one)
+        backing.append(rest)
+        seen.append((held[:-1], follow))
+    where = place(every, pairs)
+    a, b = np.zeros(len(every) + 1, np.int64), np.zeros(len(every) + 1, np.int64)
+    a[where], b[where] = place(words, v), np.searchsorted(words, w)
+    a, b = a[:-1], b[:-1]
+    made = [np.log(np.maximum(held - discount, 0) / np.maximum(follow[a], 1) + rest[a] * one[b]) for (held, follow), rest, one in zip(seen, backing, by_word, strict=True)]
+    return Model(words, np.log(by_word[0] / by_word[1]), every, made[0] - made[1])
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
@@ -209,23 +205,24 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, curve_rows:
     rows = base.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")  # at most 2 per_class + curve_rows ids
     model = fit_models(rows.where("fold < 4"), base)
     held = (fold == 0).alias("held_out")
+    names = ["mean_ratio", *[f"ratio_{r}" for r in RANKS]]
     if model is None:
         zero = F.lit(0.0)
-        return docs.select(F.col("doc_id").cast("long"), held, zero.alias("score"), F.lit(0).alias("predicted"), zero.alias("mean_ratio"), zero.alias("top_ratio"))
+        return docs.select(F.col("doc_id").cast("long"), held, zero.alias("score"), F.lit(0).alias("predicted"), *[zero.alias(c) for c in names])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.buffer(A.rows(batch, "text"))
             found = [shared.value.evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
-            x = np.concatenate(found) if found else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["id", "mean_ratio", "top_ratio"])
+            x = np.concatenate(found) if found else np.zeros((0, 1 + len(RANKS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T.copy())], names=["id", *names])
 
     def evidence(frame: DataFrame, key: str) -> DataFrame:
-        return frame.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, mean_ratio double, top_ratio double")
+        return frame.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in names))
 
     seen = evidence(rows.where("fold = 4"), "toxic").toPandas()
-    weights = curve(seen[["mean_ratio", "top_ratio"]].to_numpy(float), seen["id"].to_numpy(float)).tolist()
-    line = F.col("mean_ratio") * weights[0] + F.col("top_ratio") * weights[1] + weights[2]
+    weights = curve(seen[names].to_numpy(float), seen["id"].to_numpy(float)).tolist()
+    line = sum((F.col(c) * w for c, w in zip(names, weights, strict=False)), F.lit(weights[-1]))
     out = evidence(base, "doc_id").withColumnRenamed("id", "doc_id").withColumn("score", 1 / (1 + F.exp(-line)))
-    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean_ratio", "top_ratio")
+    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *names)
