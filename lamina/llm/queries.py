@@ -17,6 +17,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import quality
+
+    return quality.judged(documents(spark, sf_dir))
+
+
+def op3_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import mixing
+
+    return mixing.taken(documents(spark, sf_dir))
+
+
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm import bpe
 
@@ -35,6 +47,12 @@ def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(documents(spark, sf_dir))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import omh
+
+    return omh.compared(documents(spark, sf_dir))
+
+
 def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm import toxicity
 
@@ -52,4 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lamina.llm import mixing, quality
+
+    return {"op1_line_frequency": quality.ORACLE, "op3_fair_queue_mix": mixing.ORACLE}
