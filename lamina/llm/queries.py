@@ -23,6 +23,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import pii
+
+    return pii.replace(documents(spark, sf_dir).select("doc_id", "text"), count="n_replaced")
+
+
 def op3_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm import mixing
 
