@@ -222,11 +222,14 @@ def pivots(how: Symbols, keys: np.ndarray):
         sent[head] = True
         shared, pivot, row, start = here[sent], pivot[sent], row[sent], start[sent]
 
+        mixed = A.mix(pivot)
+        code = (mixed >> A.U(32)).astype("<u4")  # within a bucket; the rare clash only costs a candidate
+
         def make(at: np.ndarray) -> bytes:
             ks, hs, place = table(row[at], k, h)
-            return pack(pivot[at], place, start[at], shared[at], ks, hs)
+            return pack(code[at], place, start[at], shared[at], ks, hs)
 
-        yield dealt((A.mix(pivot) % A.U(len(keys))).astype(np.int64), keys, make)
+        yield dealt((mixed % A.U(len(keys))).astype(np.int64), keys, make)
 
     return run
 
@@ -250,7 +253,7 @@ def shared_pivots(how: Symbols, keys: np.ndarray):
     """Pass 1, reduce side: where the pivots are that occur in more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, settled = gather(batches, ["<u8", "<u4", "<u4", "?", "<i8", "<i8"])
+        got, settled = gather(batches, ["<u4", "<u4", "<u4", "?", "<i8", "<i8"])
         yield from settled
         if got is None:
             return
