@@ -47,6 +47,12 @@ def op5_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(documents(spark, sf_dir))
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import chosenpath
+
+    return chosenpath.classes(documents(spark, sf_dir))
+
+
 def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm import suffix
 
