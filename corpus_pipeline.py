@@ -1,10 +1,56 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: toxicity, near duplicates, PII, mixing, BPE.
+
+Each stage works on all that its predecessor kept; all but the last return the
+columns of documents. Null and empty texts pass the first three stages; the
+mix takes no document without words. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import bpe, chosenpath, mixing, pii, toxicity
+from lamina.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not reject."""
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    toxic = scored.where("predicted = 1").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return chosenpath.representatives(docs)
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data and secrets; n_chars follows the new text."""
+    out = pii.replace(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by target weight; a document that is taken twice is there twice."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of what was mixed."""
+    return bpe.digests(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("pii", replace_private),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: Language models, graph components and trained vocabularies are beyond SQL; tests/llm compares with plain Python.
 ORACLE_SQL = None
 
 
