@@ -569,10 +569,10 @@ def a29_islands(spark, d):
     return series.run_summary(series.islands(e, "g", ["ts", "event_id"], F.col("event_type") == "error"), "g").withColumn("longest_first", F.col("longest_first").cast("long"))
 
 
-@query("w06_trailing_meter", "SELECT event_id, round(list_sort(list(value) OVER w)[CAST(floor((count(*) OVER w + 1) / 2) AS INT)], 6) AS median, round(avg(value) OVER w, 6) AS mean, round(max(value) OVER w, 6) AS maximum, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS global_mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@query("w06_trailing_meter", "SELECT event_id, round(list_sort(list(value) OVER w)[CAST(floor((count(*) OVER w + 1) / 2) AS INT)], 6) AS median, round(avg(value) OVER w, 6) AS mean, round(max(value) OVER w, 6) AS maximum, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS global_mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def w06_trailing_meter(spark, d):
     out = series.trailing(P.table(spark, d, "events"), "event_type", ["ts", "event_id"], "value")
-    return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("median", "mean", "maximum")], F.round("global_mean", 3).alias("global_mean"))
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("median", "mean", "maximum")], F.round(F.col("global_mean") + 1e-9, 6).alias("global_mean"))
 
 
 @query("w09_retention", "SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 3")
