@@ -9,7 +9,7 @@ shuffled; partial counts are formed before.
 
 Edge cases: a null or empty text has no words, lines or hashes and fails the
 base rule; a null host is a host of its own; repeated rows are documents of
-their own and share their verdict; other columns of the table are not read.
+their own; other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm._session import cut
+
 SHARE = 0.005
 FLOOR = 20
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -62,63 +64,66 @@ def repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_column: str, text: str, host: str) -> DataFrame:
-    """Figures of each document by itself."""
+    """Figures of each document by itself, and its lines' hashes and word counts; written once, so texts are read once."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = bound(
         word_list(body),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words")),
     )
-    dups = bound(line_list(body), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return docs.select(
+
+    def of_lines(x: Column) -> Column:
+        dups = (F.size(x) - F.size(F.array_distinct(x))).cast("long")
+        each = F.transform(x, lambda line: F.struct(line_hash(line).alias("line"), F.size(word_list(line)).alias("words")))
+        return F.struct(dups.alias("n_dup_lines"), each.alias("lines"))
+
+    rows = docs.select(
         F.col(id_column).alias("doc_id"),
         F.xxhash64(body).alias("h"),
         F.col(host).cast("string").alias("host"),
         words.alias("w"),
         F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        dups.alias("n_dup_lines"),
-    ).select("doc_id", "h", "host", "w.*", "n_symbols", "n_dup_lines")
+        bound(line_list(body), of_lines).alias("x"),
+    )
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "host", "w.*", "n_symbols", "x.*"))
 
 
-def boilerplate(docs: DataFrame, text: str, host: str, share: float, floor: int) -> DataFrame:
-    """host, line: hashes of lines above the limit, and how many documents of the host have them."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    hosts = docs.groupBy(F.col(host).cast("string").alias("host_")).agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = docs.select(F.col(host).cast("string").alias("host"), F.explode(F.array_distinct(F.transform(line_list(body), line_hash))).alias("line"))
+def boilerplate(rows: DataFrame, share: float, floor: int) -> DataFrame:
+    """host, line, line_docs: hashes of lines above the limit, and how many documents of the host have them."""
+    hosts = rows.groupBy(F.col("host").alias("host_")).agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     found = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).where(F.col("line_docs") > floor)
     found = found.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).drop("host_")
     return found.where(F.col("line_docs") > F.col("host_docs") * share).select("host", "line", "line_docs")
 
 
-def judged(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Base figures, words in removed lines, and the verdict on every document."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    hot = boilerplate(docs, text, host, share, floor).select(F.col("host").alias("host_"), "line")
-    each = F.transform(line_list(body), lambda x: F.struct(line_hash(x).alias("line"), F.size(word_list(x)).alias("words")))
-    lines = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(body).alias("h"), F.col(host).cast("string").alias("host"), F.explode(each).alias("x"))
-    lines = lines.select("doc_id", "h", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    lost = lines.join(hot.withColumnRenamed("line", "line_"), (F.col("line") == F.col("line_")) & F.col("host").eqNullSafe(F.col("host_")))
-    lost = lost.groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), F.col("host").alias("host_")).agg(F.sum("words").alias("lost"))
-    base = measured(docs, id_column, text, host)
-    out = base.join(lost, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
+def lost_lines(rows: DataFrame, share: float, floor: int) -> DataFrame:
+    """row_, lost, gone: words and hashes of the lines that each row loses."""
+    hot = boilerplate(rows, share, floor).select(F.col("host").alias("hot_host"), F.col("line").alias("hot_line"))
+    lines = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
+    lost = lines.join(hot, (F.col("line") == F.col("hot_line")) & F.col("host").eqNullSafe(F.col("hot_host")))
+    return lost.groupBy(F.col("row").alias("row_")).agg(F.sum("words").alias("lost"), F.collect_set("line").alias("gone"))
+
+
+def verdicts(rows: DataFrame, share: float, floor: int) -> DataFrame:
+    """The measured rows with lost, gone, base_failed and kept."""
+    out = rows.drop("lines").join(lost_lines(rows, share, floor), F.col("row") == F.col("row_"), "left")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     removed = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), removed.alias("n_removed_words"),
-        (~failed & (removed * 2 <= F.col("n_words"))).alias("kept"),
-    )
+    return out.withColumns({"base_failed": failed, "n_removed_words": removed, "kept": ~failed & (removed * 2 <= F.col("n_words"))})
+
+
+def judged(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Base figures, words in removed lines, and the verdict on every document."""
+    out = verdicts(measured(docs, id_column, text, host), share, floor)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
 
 def clean(docs: DataFrame, share: float = SHARE, floor: int = FLOOR, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """id and text of the documents that are kept, without the lines above the limit."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    kept = verdicts(measured(docs, id_column, text, host), share, floor).where("kept").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("host").alias("o"), "gone").dropDuplicates(["d", "g", "o"])
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(host).cast("string").alias("host"), body.alias("text"), F.xxhash64(body).alias("h"))
-    lines = rows.select("doc_id", "h", "host", F.explode(F.array_distinct(F.transform(line_list(F.col("text")), line_hash))).alias("line"))
-    hot = boilerplate(docs, text, host, share, floor).select(F.col("host").alias("host_"), F.col("line").alias("line_"))
-    lost = lines.join(hot, (F.col("line") == F.col("line_")) & F.col("host").eqNullSafe(F.col("host_")))
-    lost = lost.groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(F.collect_set("line").alias("gone"))
-    kept = judged(docs, share, floor, id_column, text, host).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left")
-    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & F.col("host").eqNullSafe(F.col("o")))
     left = F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), line_hash(x)), F.lit(False)))
     return out.select(F.col("doc_id").alias(id_column), F.array_join(left, "\n").alias(text))
 
