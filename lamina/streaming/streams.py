@@ -93,11 +93,14 @@ def meter(events: DataFrame, key: str, time: str, value: str, size: int = 20) ->
 def windowed(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", length: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Tumbling counts and sums with a watermark."""
     w = F.window(time, length)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w.alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is available now, as a table in memory: for tests and small results only."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """All that a bounded stream has, as a table in memory: for tests and small results only."""
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     return stream.sparkSession.table(name)
