@@ -180,7 +180,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def by_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely links inside small buckets, each node to the first of its component."""
+    """Likely links inside small buckets. Nodes near the hub are one component already; the others are tied to the first node of theirs."""
     for table in runs_of(batches, ["path", "b1", "b2"]):
         n = table.num_rows
         if n < 2:
@@ -191,9 +191,11 @@ def by_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.flatnonzero(alike(sketch[i + 1 :], sketch[i][None, :]) >= NEAR)
             a.append(np.full(len(hit), i))
             b.append(hit + i + 1)
-        root = roots(n, np.concatenate(a), np.concatenate(b))
+        known = np.asarray(table.column("near")) >= NEAR
+        tied = np.flatnonzero(known)
+        root = roots(n, np.concatenate([*a, tied[1:]]), np.concatenate([*b, tied[:-1]]))
         x = table.column("x").combine_chunks()
-        moved = np.flatnonzero(root != np.arange(n))
+        moved = np.flatnonzero((root != np.arange(n)) & ~(known & known[root]))
         if len(moved):
             yield pa.RecordBatch.from_arrays([x.take(pa.array(moved)), x.take(pa.array(root[moved]))], names=["u", "v"])
 
@@ -240,7 +242,9 @@ def likely(nodes: DataFrame) -> DataFrame:
         kind = "path long, size long, x binary, sketch binary, hub binary, near double"
         seen = cut(rows.join(hubs, "path").where("x != hub").mapInArrow(against_hub, kind))
         found = seen.where(F.col("near") >= NEAR).select(F.col("x").alias("u"), F.col("hub").alias("v")).distinct()
-        left = seen.where((F.col("near") < DEEP) & (F.col("size") > 2)).select("path", "size", "x", "sketch")
+        # where every node is near the hub, all are of one family
+        apart = seen.where((F.col("near") < NEAR) & (F.col("size") > 2)).select("path").distinct()
+        left = seen.where(F.col("near") < DEEP).join(apart, "path").select("path", "size", "x", "sketch", "near")
         here = F.col("size") <= SMALL if level <= DEPTH else F.lit(True)
         small = blocks(left.where(here), "size", SMALL, "x").repartition(n, "path", "b1", "b2").sortWithinPartitions("path", "b1", "b2")
         found = found.unionByName(small.mapInArrow(by_pairs, "u binary, v binary"))
@@ -306,7 +310,7 @@ def whole_sum(size: np.ndarray, whole: int, part: int) -> np.ndarray:
 
 
 def join(docs: DataFrame, part: int = 5, whole: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, h (id and text hash), class_id and n_links of every document, for a similarity of whole / part or more."""
+    """k, h (id and text hash), root (its class; null without words), class_id and n_links of every document, for a similarity of whole / part or more."""
     n = partitions(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), body.alias("text"))
@@ -326,8 +330,8 @@ def join(docs: DataFrame, part: int = 5, whole: int = 4, id_column: str = "doc_i
     of = of.select("x", F.coalesce("root", "x").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     members = seen.select("k", "h", "x").join(of, "x")
     first = members.groupBy("root").agg(F.min("k").alias("class_id"))
-    members = members.join(first, "root").select("k", "h", "class_id", "n_links")
-    bare = base.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("k", "h", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    members = members.join(first, "root").select("k", "h", "root", "class_id", "n_links")
+    bare = base.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("k", "h", F.lit(None).cast("binary").alias("root"), F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return members.unionByName(bare)
 
 
@@ -340,7 +344,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The table with one document of each class: the one of least id, and of its rows that of least text hash."""
     found = join(docs, id_column=id_column, text=text)
-    kept = found.groupBy("class_id").agg(F.min(F.struct("k", "h")).alias("one"))
+    kept = found.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "h")).alias("one"))
     bare = F.lit(r"[^\x20\x09-\x0D]")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = [F.col(c) for c in docs.columns]

@@ -118,7 +118,7 @@ def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFr
     """
     n = partitions(rows.sparkSession)
     ends = rows.stat.approxQuantile("r_", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    ends = sorted({int(x) for x in ends})
+    ends = sorted({min(int(x), LAST) for x in ends})
     if ends:
         steps = [1 << b for b in range(len(ends).bit_length() - 1, -1, -1)]
         table = F.lit(ends)
