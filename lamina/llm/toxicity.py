@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
+from lamina.llm._session import cut
 
 DISCOUNT = 0.95
 RANKS = (2, 4)
@@ -136,42 +137,39 @@ def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(out.sum())
 
 
+def collected(frame: DataFrame, names: list[str]) -> list[np.ndarray]:
+    table = frame.select(*names).toArrow()
+    return [np.asarray(table.column(x).combine_chunks()) for x in names]
+
+
 def fit_models(docs: DataFrame, corpus: DataFrame, discount: float = DISCOUNT, least: int = 5) -> Model | None:
-    """docs: text and toxic of the training rows. Tables: an entry for each word and bigram of these, whose number is bounded."""
-    got = counts(docs).toArrow()
-    c, v, w, n = (np.asarray(got.column(x).combine_chunks() if got.num_rows else got.column(x)) for x in ("c", "v", "w", "n"))
-    v, w = v.view(np.uint64), w.view(np.uint64)
+    """docs: text and toxic of the training rows. Only sums by word, and bigrams of at least `least` texts, reach the driver; the number of training rows bounds both."""
+    grams = cut(counts(docs))
+    c, w, new_of = collected(grams.groupBy("c", "w").agg(F.count(F.lit(1)).alias("new")), ["c", "w", "new"])
     if not ((c == 1).any() and (c == 0).any()):
         return None
+    fc, fv, follow_of, kinds_of = collected(grams.groupBy("c", "v").agg(F.sum("n").alias("follow"), F.count(F.lit(1)).alias("kinds")), ["c", "v", "follow", "kinds"])
+    of_class = lambda k: F.coalesce(F.sum(F.when(F.col("c") == k, F.col("n"))), F.lit(0))
+    common = grams.groupBy("v", "w").agg(of_class(1).alias("t"), of_class(0).alias("o")).where((F.col("t") + F.col("o") >= least) & (F.col("v") != 0))
+    pv, pw, toxic, ordinary = collected(common, ["v", "w", "t", "o"])  # rarer bigrams are left to the words' own counts
+    w, fv, pv, pw = (x.view(np.uint64) for x in (w, fv, pv, pw))
     words = np.unique(w)
     shared, total = shared_counts(corpus, words)
     known = np.maximum(shared[:-1], 1)
     base = np.r_[known, max(shared[-1], 1.0) / max(1, len(words))] / max(total, 1)  # unknown words share what is left
-    pairs, times = pair(v, w), n.astype(float)
-    every, of_pair = np.unique(pairs, return_inverse=True)
-    often = np.bincount(of_pair, times) >= least  # rarer bigrams are left to the words' own counts
-    often &= np.bincount(of_pair, place(words, v) < len(words)) > 0
-    every = every[often]
-    by_word, backing, seen = [], [], []
-    for kind in (1, 0):
-        mine = c == kind
-        at, before, many = np.searchsorted(words, w[mine]), place(words, v[mine]), times[mine]
-        new = np.bincount(at, minlength=len(words) + 1)  # continuation counts: distinct words before w
+    size, before, after = len(words) + 1, place(words, pv), place(words, pw)
+    by_word, made = [], []
+    for kind, held in ((1, toxic), (0, ordinary)):
+        new = np.bincount(place(words, w[c == kind]), new_of[c == kind], minlength=size)  # continuation counts: distinct words before w
         one = np.maximum(new - discount, 0) / new.sum() + discount * (new > 0).sum() / new.sum() * base
-        follow = np.bincount(before, many, minlength=len(words) + 1)
-        kinds = np.bincount(before, minlength=len(words) + 1)
+        at = place(words, fv[fc == kind])
+        follow, kinds = np.bincount(at, follow_of[fc == kind], minlength=size), np.bincount(at, kinds_of[fc == kind], minlength=size)
         rest = np.where(follow > 0, discount * kinds / np.maximum(follow, 1), 1.0)
-        held = np.zeros(len(every) + 1)
-        np.add.at(held, place(every, pairs[mine]), many)
         by_word.append(one)
-        backing.append(rest)
-        seen.append((held[:-1], follow))
-    where = place(every, pairs)
-    a, b = np.zeros(len(every) + 1, np.int64), np.zeros(len(every) + 1, np.int64)
-    a[where], b[where] = place(words, v), np.searchsorted(words, w)
-    a, b = a[:-1], b[:-1]
-    made = [np.log(np.maximum(held - discount, 0) / np.maximum(follow[a], 1) + rest[a] * one[b]) for (held, follow), rest, one in zip(seen, backing, by_word, strict=True)]
-    return Model(words, np.log(by_word[0] / by_word[1]), every, made[0] - made[1])
+        made.append(np.log(np.maximum(held - discount, 0) / np.maximum(follow[before], 1) + rest[before] * one[after]))
+    pairs = pair(pv, pw)
+    order = np.argsort(pairs)
+    return Model(words, np.log(by_word[0] / by_word[1]), pairs[order], (made[0] - made[1])[order])
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
