@@ -30,17 +30,18 @@ ROUNDS = 12
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "awskey": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
-    "secret": r"(?<=(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[^\s\"']{6,200}",
+    "secret": r"(?<=[=:\"'\s])(?<=[=:]\s{0,3}[\"']?)(?<=(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[^\s\"']{6,200}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "man": r"(?<=\b(?:Mr\.?|Mister|Sir|Herr|Monsieur|Señor|Sr\.|г-н|господин) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
-    "woman": r"(?<=\b(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|г-жа|госпожа) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "man": r"(?<= )(?=\p{Lu})(?<=\b(?:Mr\.?|Mister|Sir|Herr|Monsieur|Señor|Sr\.|г-н|господин) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "woman": r"(?<= )(?=\p{Lu})(?<=\b(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|г-жа|госпожа) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
-#: Fixed value: every type's patterns hold one of these.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)|Mr|Ms|Mister|Miss|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Sr\.|Sra\.|г-н|г-жа|господин|госпожа"
+#: Names follow one of these titles, secrets one of these words.
+TITLES = ("Mr", "Ms", "Mis", "Sir ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Mme ", "Señor", "Sr. ", "Sra. ", "г-н", "г-жа", "господин", "госпожа")
+SECRETS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
 
 #: Given names by script and gender.
 GIVEN = {
@@ -185,15 +186,28 @@ def rendered(kind: Column, value: Column, made: Column) -> Column:
 
 def named(text: Column) -> Column:
     """Mentions of a text in reading order: value and, for names, the gender that their title tells."""
-    men, women = F.regexp_extract_all(text, F.lit(f"({PATTERNS['man']})"), F.lit(1)), F.regexp_extract_all(text, F.lit(f"({PATTERNS['woman']})"), F.lit(1))
-    kind = lambda v: F.when(v.rlike(r"^\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?$") & F.array_contains(men, v), "man").when(v.rlike(r"^\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?$") & F.array_contains(women, v), "woman").otherwise(kind_of(v))
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({EVERY})"), F.lit(1)), lambda v: F.struct(v.alias("value"), kind(v).alias("kind")))
+    titled = lambda p: F.when(has_any(text, TITLES), F.regexp_extract_all(text, F.lit(f"({PATTERNS[p]})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    kind = lambda v, men, women: F.when(v.rlike(r"^\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?$") & F.array_contains(men, v), "man").when(v.rlike(r"^\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?$") & F.array_contains(women, v), "woman").otherwise(kind_of(v))
+    found = F.regexp_extract_all(text, F.lit(f"({EVERY})"), F.lit(1))
+    return bound(titled("man"), lambda men: bound(titled("woman"), lambda women: F.transform(found, lambda v: F.struct(v.alias("value"), kind(v, men, women).alias("kind")))))
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out |= F.contains(text, F.lit(word))
+    return out
+
+
+def may_hold(text: Column) -> Column:
+    """Cheap test that no text with an entity fails."""
+    return F.coalesce(text.rlike("[0-9@]") | has_any(text, SECRETS + TITLES), F.lit(False))
 
 
 def replace(docs: DataFrame, text: str = "text", count: str | None = None) -> DataFrame:
     """The table with surrogates in its text column; with `count`, also a column of how many mentions were replaced."""
     body = F.col(text).cast("string")
-    hinted = F.coalesce(body.rlike(HINT), F.lit(False))
+    hinted = may_hold(body)
     rest = docs.where(~hinted)
     own = [F.col(c) for c in docs.columns]
     some = docs.where(hinted).select(F.struct(*own).alias("row"), F.xxhash64(*own).alias("k"), body.alias("t"))
