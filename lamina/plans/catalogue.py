@@ -13,7 +13,7 @@ from lamina.functions import documents as D
 from lamina.functions import images, schedules
 from lamina.functions import text as X
 from lamina.functions import vectors as V
-from lamina.operators import buckets, checks, clusters, index, kmeans, neighbours, semantic, series
+from lamina.operators import buckets, checks, clusters, index, kmeans, neighbours, relations, semantic, series
 from lamina.plans import proxy as P
 from lamina.sources import files
 
@@ -755,3 +755,133 @@ def st_draw_stream(spark, d):
     from lamina.streaming import streams
 
     return streams.drained(streams.draws(spark, 37, seed=7, stream=3, total=2000), f"draws_{uuid.uuid4().hex}").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- relations between artifacts -------------------------------------------------
+
+
+@query("j04_assignment_join", f"{TILES}, {P.PACKED} SELECT magnification, coarse_cluster_id, count(*) AS n, CAST(sum(packed_row_index) AS BIGINT) AS rows_sum FROM packed GROUP BY ALL")
+def j04_assignment_join(spark, d):
+    t = P.packed_rows(P.tiles(spark, d))
+    hierarchy = t.select("magnification", FINE, COARSE).distinct()
+    out = relations.with_assignment(t.select("magnification", "packed_row_index", "slide_id"), t.select("magnification", "packed_row_index", FINE), hierarchy)
+    return out.groupBy("magnification", COARSE).agg(F.count(F.lit(1)).alias("n"), F.sum("packed_row_index").alias("rows_sum"))
+
+
+@query("j07_unknown_clusters", f"{TILES} SELECT magnification, fine_cluster_id, coarse_cluster_id, count(*) AS n_tiles FROM tiles WHERE fine_cluster_id % 7 = 0 OR fine_cluster_id = 11 GROUP BY ALL")
+def j07_unknown_clusters(spark, d):
+    t = P.tiles(spark, d)
+    known = t.select("magnification", FINE, COARSE).distinct().where("fine_cluster_id % 7 <> 0").withColumn(COARSE, F.when(F.col(FINE) == 11, 99).otherwise(F.col(COARSE)))
+    return relations.unknown_clusters(t, known)
+
+
+@query("j08_coordinate_differences", f"WITH l AS (SELECT l_orderkey % 50 AS slide_id, l_orderkey * 8 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(P.KEYS[1:])}) AS r, l_quantity FROM lineitem) SELECT slide_id, count(*) AS rows, count(*) FILTER (l_quantity < 3) AS differing, count(*) FILTER (l_quantity > 49) AS raw_only, CAST(0 AS BIGINT) AS projected_only FROM l GROUP BY slide_id")
+def j08_coordinate_differences(spark, d):
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*P.KEYS[1:]))
+    raw = P.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("slide_id"), (F.col("l_orderkey") * 8 + r).alias("row"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), "l_quantity")
+    return relations.coordinate_differences(raw, raw.where("l_quantity <= 49").withColumn("y", F.when(F.col("l_quantity") < 3, -1).otherwise(F.col("y"))))
+
+
+@query("j13_selected_representatives", f"{COMP}, a AS ({AUDITED}), r AS (SELECT *, row_number() OVER (PARTITION BY magnification, bucket ORDER BY o, fine_cluster_id) AS rank FROM a), c AS (SELECT magnification, fine_cluster_id, string_agg(DISTINCT bucket, ',' ORDER BY bucket) AS buckets FROM r WHERE rank <= 3 GROUP BY ALL), p AS (SELECT magnification, fine_cluster_id, slide_id, row_number() OVER (PARTITION BY magnification, fine_cluster_id ORDER BY x, y, slide_id) AS place FROM tiles) SELECT p.magnification, p.fine_cluster_id, slide_id, CAST(place AS INT) AS place, buckets FROM p JOIN c USING (magnification, fine_cluster_id) WHERE place <= 2")
+def j13_selected_representatives(spark, d):
+    place = F.row_number().over(Window.partitionBy("magnification", FINE).orderBy("x", "y", "slide_id"))
+    first = P.tiles(spark, d).withColumn("place", place).where("place <= 2").select("magnification", FINE, "slide_id", "place")
+    out = relations.selected_representatives(buckets.selection(_assigned(spark, d), 3), first)
+    return out.select("magnification", FINE, "slide_id", "place", F.array_join("audit_buckets", ",").alias("buckets"))
+
+
+@query("j17_class_labels", "SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 1) n ON c_nationkey = n_nationkey")
+def j17_class_labels(spark, d):
+    names = P.table(spark, d, "nation").where("n_nationkey % 4 <> 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return relations.class_labels(P.table(spark, d, "customer"), names, "c_nationkey").select("c_custkey", "n_name")
+
+
+@query("k10_dictionary", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM part")
+def k10_dictionary(spark, d):
+    return relations.dictionary_encoded(P.table(spark, d, "part"), "p_name", "code").select("p_partkey", "code")
+
+
+@query("k09_entries", f"{TILES}, {P.PACKED}, s AS (SELECT slide_id, row_number() OVER (ORDER BY slide_id) - 1 AS slide_index FROM (SELECT DISTINCT slide_id FROM tiles)) SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(slide_index AS INT) AS slide_id, magnification AS target_magnification, CAST(10240 / magnification AS INT) AS patch_size_level0 FROM packed JOIN s USING (slide_id)")
+def k09_entries(spark, d):
+    from lamina.sources import writers
+
+    return writers.entries(P.tiles(spark, d).withColumn("patch_size_level0", (F.lit(10240) / F.col("magnification")).cast("int")))
+
+
+@query("q08_document_differences", f"{COMP} SELECT magnification, 'random' AS bucket, fine_cluster_id, 'table' AS only FROM bucketed WHERE sampling_eligible AND fine_cluster_id % 9 = 0")
+def q08_document_differences(spark, d):
+    c = _assigned(spark, d)
+    each = c.select("magnification", F.explode("bucket_memberships").alias("bucket"), FINE).where("bucket <> 'random' or fine_cluster_id % 9 <> 0")
+    return relations.document_differences(c, each.groupBy("magnification", "bucket").agg(F.collect_list(FINE).alias("fine_cluster_ids")))
+
+
+@query("q06_evidence", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'ok' END AS state FROM documents")
+def q06_evidence(spark, d):
+    docs = P.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    rows = docs.select("doc_id", "path", F.when(F.col("doc_id") % 3 == 0, "-").otherwise(F.sha2("content", 256)).alias("sha256"))
+    return relations.evidence(rows, docs.where("doc_id % 5 <> 0").select("path", "content")).select("doc_id", "state")
+
+
+@query("s11_prompt_faults", "SELECT CAST(0 AS BIGINT) AS not_unit, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS blank, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS size_range")
+def s11_prompt_faults(spark, d):
+    return relations.prompt_faults(P.concepts(spark, d).withColumn("concept_id", F.col("concept_id").cast("string")))
+
+
+@query("s08_exclusions", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'target_above_scan' ELSE NULL END AS reason FROM orders WHERE o_orderkey % 10 <> 0")
+def s08_exclusions(spark, d):
+    rows = P.table(spark, d, "orders").select("o_orderkey", F.lit(40).alias("target_magnification"), F.when(F.col("o_orderkey") % 4 == 0, 20).otherwise(40).alias("level0_magnification"), (F.col("o_orderkey") % 10).alias("n_tiles"))
+    kept, out = files.shards(rows)
+    return kept.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(out.select("o_orderkey", "reason"))
+
+
+@query("a27_mean_over_tries", "SELECT label, round(avg(s), 6) AS s, count(*) AS tries FROM (SELECT label, vec_id % 5 AS t, sum(vec_id) AS s FROM embeddings GROUP BY ALL) GROUP BY label")
+def a27_mean_over_tries(spark, d):
+    tries = P.table(spark, d, "embeddings").groupBy("label", (F.col("vec_id") % 5).alias("t")).agg(F.sum("vec_id").alias("s"))
+    return relations.mean_over_tries(tries, ["label"], "s").withColumn("s", F.round("s", 6))
+
+
+@query("a23_centroid_update", f"{SEM}, e AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), x AS (SELECT vec_id, cent.fine_cluster_id AS c, round(sum((e.v - cent.v) * (e.v - cent.v)), 12) AS distance FROM e JOIN cent USING (dim) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) AS r FROM x) SELECT CAST(c AS BIGINT) AS cluster, CAST(dim AS BIGINT) AS dim, round(avg(v), 6) + 0.0 AS value FROM r JOIN e USING (vec_id) WHERE r = 1 GROUP BY ALL")
+def a23_centroid_update(spark, d):
+    import numpy as np
+
+    e = P.vectors(spark, d)
+    centers = np.array([r[0] for r in semantic.directions(semantic.sums(e, [FINE]), [FINE]).orderBy(FINE).select("centroid").collect()])  # k vectors
+    new, _ = kmeans.updated(e, centers)
+    rows = [(c, i, round(float(v), 6) + 0.0) for c, row in enumerate(new) for i, v in enumerate(row)]
+    return spark.createDataFrame(rows, "cluster long, dim long, value double")
+
+
+@query("m09_projection", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) + 0.0 AS total FROM embeddings")
+def m09_projection(spark, d):
+    import pandas as pd
+
+    return relations.applied(P.table(spark, d, "embeddings").select("vec_id", "embedding"), lambda p: pd.DataFrame({"vec_id": p["vec_id"], "total": [round(float(sum(map(float, v))), 5) + 0.0 for v in p["embedding"]]}), "vec_id long, total double")
+
+
+@query("r01_floyd", None)
+def r01_floyd(spark, d):
+    """A sample of fixed size without replacement: the positions are drawn on the driver, bounded by the size, and joined."""
+    n = P.table(spark, d, "embeddings").count()
+    at = spark.createDataFrame([(int(i),) for i in kmeans.floyd(100, n, 47)], "vec_id long")
+    return P.table(spark, d, "embeddings").join(F.broadcast(at), "vec_id").select("vec_id", "label")
+
+
+@query("u03_union_levels", f"{TILES} SELECT 'fine' AS level, count(DISTINCT (magnification, fine_cluster_id)) AS n FROM tiles UNION ALL SELECT 'coarse', count(DISTINCT (magnification, coarse_cluster_id)) FROM tiles")
+def u03_union_levels(spark, d):
+    t = P.tiles(spark, d)
+    part = lambda name, c: t.select("magnification", c).distinct().agg(F.lit(name).alias("level"), F.count(F.lit(1)).alias("n"))
+    return part("fine", FINE).unionByName(part("coarse", COARSE))
+
+
+@query("x01_repeated_coordinates", "SELECT l_orderkey AS slide_id, CAST(floor(l_extendedprice / 5000) AS BIGINT) AS x, l_linenumber AS y, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def x01_repeated_coordinates(spark, d):
+    rows = P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("slide_id"), F.floor(F.col("l_extendedprice") / 5000).cast("long").alias("x"), F.col("l_linenumber").alias("y"))
+    return rows.groupBy("slide_id", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("p12_distances", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.vec_id, round(greatest(list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v), 0), 6) + 0.0 AS l2, round(2 - 2 * list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+def p12_distances(spark, d):
+    e = P.table(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    both = e.join(b, "vec_id")
+    return both.select("vec_id", (F.round(V.expanded_distance(F.col("embedding"), F.col("other")), 6) + 0.0).alias("l2"), (F.round(V.cosine_distance(F.col("embedding"), F.col("other")), 6) + 0.0).alias("cosine"))
