@@ -137,6 +137,8 @@ def compiled(spark: SparkSession, folder: str, tiles: DataFrame, masks: DataFram
     """The sampling index: one job for each magnification, whose result is kept for a resume; the source is compared again before publishing."""
     place = owned(folder)
     identity = canonical_hash(facts)
+    masks = masks.where(F.col("bucket_mask").bitwiseAND(F.lit(1)) == 1)  # eligible clusters
+    tiles = tiles.join(F.broadcast(masks.select("magnification", "fine_cluster_id")), ["magnification", "fine_cluster_id"], "left_semi")
     mags = sorted(r[0] for r in tiles.select("magnification").distinct().collect())  # the configured few
     for m in mags:
         done = place / f"parts/{m}.done"

@@ -30,7 +30,8 @@ def test_eight_stages(spark, tmp_path):
     index = str(tmp_path / "index")
     a = offline.compiled(spark, index, tiles, masks, {"v": 1})
     b = offline.compiled(spark, index, tiles, masks, {"v": 1})
-    assert a == b and a["entries"] == tiles.count() and a["magnifications"] == [5, 10, 20, 40]
+    eligible = tiles.join(masks.where("sampling_eligible"), ["magnification", "fine_cluster_id"], "left_semi")
+    assert a == b and a["entries"] == eligible.count() > 0
 
 
 def test_guards(tmp_path):
