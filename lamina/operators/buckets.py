@@ -64,7 +64,8 @@ def assigned(clusters: DataFrame, rules: dict | None = None) -> DataFrame:
     """Adds eligibility, thresholds, a flag for each bucket, memberships, reasons of exclusion and the bit mask."""
     rules = rules or DEFAULTS["buckets"]
     out = eligibility(clusters, rules)
-    out = out.join(F.broadcast(thresholds(out, rules["top_quantile"])), "magnification")  # a row for each magnification
+    mag = Window.partitionBy("magnification")  # clusters of a magnification are as many as configured
+    out = out.withColumns({f"{s}_threshold": F.percentile(F.when(F.col("sampling_eligible"), F.col(s)), rules["top_quantile"]).over(mag) for s in SCORES.values()})
 
     def bucket(name: str) -> Column:
         r = rules[name]

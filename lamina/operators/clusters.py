@@ -12,19 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def counted(tiles: DataFrame) -> Column:
+    """Aggregate: number of tiles, of single ones or of groups that carry n."""
+    return F.sum("n") if "n" in tiles.columns else F.count(F.lit(1))
+
+
+def slide_level(tiles: DataFrame, level: str) -> DataFrame:
+    """n tiles of each cluster and slide. Statistics that all start here share one exchange, so tiles are read and shuffled once."""
+    return tiles.groupBy("magnification", level, "slide_id", "patient_id", "primary_site", "tcga_project").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tile_counts(tiles: DataFrame, level: str) -> DataFrame:
-    return tiles.groupBy("magnification", level).agg(F.count(F.lit(1)).alias("n_tiles"))
+    return tiles.groupBy("magnification", level).agg(counted(tiles).alias("n_tiles"))
 
 
 def distinct_members(tiles: DataFrame, level: str, member: str, into: str) -> DataFrame:
     """Distinct members of each cluster, in two steps, so a cluster's members are spread."""
-    pairs = tiles.groupBy("magnification", level, member).agg(F.lit(1).alias("one"))
-    return pairs.groupBy("magnification", level).agg(F.count(member).alias(into))
+    pairs = tiles.groupBy("magnification", level, member).agg(counted(tiles).alias("n"))
+    return pairs.groupBy("magnification", level).agg(F.count(F.when(F.col("n") > 0, F.col(member))).alias(into))
 
 
 def long_counts(tiles: DataFrame, level: str, category: str) -> DataFrame:
     """n tiles and n_patients for each cluster and category that it has."""
-    by = tiles.groupBy("magnification", level, category, "patient_id").agg(F.count(F.lit(1)).alias("n"))
+    by = tiles.groupBy("magnification", level, category, "patient_id").agg(counted(tiles).alias("n"))
     return by.groupBy("magnification", level, category).agg(F.sum("n").alias("n"), F.count("patient_id").alias("n_patients"))
 
 
@@ -71,6 +81,7 @@ def children(tiles: DataFrame) -> DataFrame:
 def statistics(tiles: DataFrame, level: str = "fine_cluster_id", min_tiles: int = 20, min_patients: int = 3) -> DataFrame:
     """All statistics of a level, one row for each cluster."""
     keys = ["magnification", level]
+    tiles = slide_level(tiles, level)
     sites, projects = long_counts(tiles, level, "primary_site"), long_counts(tiles, level, "tcga_project")
     mag = Window.partitionBy("magnification")
     out = entropy(sites, level, "primary_site").withColumnRenamed("entropy", "tissue_entropy")
