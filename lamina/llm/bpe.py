@@ -57,6 +57,8 @@ class Vocabulary:
             if whole not in self.halves:
                 self.halves[whole], self.made[whole] = (left, right), r
         self.longest = max(map(len, self.ids))
+        self.sizes = {i: len(t) for i, t in self.tokens.items()} | {-1: 0}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.tokens}
         self.follows: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
 
@@ -92,8 +94,8 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words by one depth-first walk over their trie."""
-        ids, longest, may_follow = self.ids, self.longest, self.may_follow
-        tokens, pack = self.tokens, int.to_bytes
+        get, longest, may_follow, sizes = self.ids.get, self.longest, self.may_follow, self.sizes
+        packed = self.packed
         last: list[int] = [-1]
         path = b""
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
@@ -105,15 +107,19 @@ class Vocabulary:
                     depth += 1
             del last[depth + 1 :]
             for end in range(depth + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(raw[start:end])
-                    if token is not None and (start == 0 or may_follow(last[start], token)):
-                        last.append(token)
-                        break
+                # one token only fits; most often the last one grown by a byte, or the byte alone
+                start = end - 1 - sizes[last[-1]]
+                token = get(raw[start:end])
+                if token is None or (start and not may_follow(last[start], token)):
+                    for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                        token = get(raw[start:end])
+                        if token is not None and (not start or may_follow(last[start], token)):
+                            break
+                last.append(token)
             path, at, found = raw, len(raw), []
             while at:
-                found.append(pack(last[at], 4, "little"))
-                at -= len(tokens[last[at]])
+                found.append(packed[last[at]])
+                at -= sizes[last[at]]
             found.reverse()
             self.words[word] = b"".join(found)
 
