@@ -39,8 +39,8 @@ RUNS = 4
 CHILDREN = 2.5  # expected choices of a node: a link at 0.8 shares 2 a run, and is missed by all runs with chance e**-8
 SMALL = 256
 DEPTH = 4
-NEAR = 0.5  # estimates at or above join a family
-DEEP = 0.9  # estimates at or above are surely within the threshold of the hub
+NEAR = 0.4  # estimates at or above join a family
+DEEP = 0.8  # a node this near its hub has no link to one that is not near it: Jaccard distance is a metric, and 0.1 is left for errors of estimates
 BLOCK = 1024
 
 
@@ -180,26 +180,39 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def by_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely links inside small buckets. Nodes near the hub are one component already; the others are tied to the first node of theirs."""
-    for table in runs_of(batches, ["path", "b1", "b2"]):
+    """Likely links of the nodes that are far from the hub, to each other and to near ones. Near nodes are one component already; the others are tied to the first node of theirs."""
+    for table in runs_of(batches, ["path", "kind", "b1", "b2"]):
         n = table.num_rows
-        if n < 2:
+        known = np.asarray(table.column("near")) >= NEAR
+        if n < 2 or known.all():
             continue
         sketch = matrix(table.column("sketch").combine_chunks())
-        a, b = [], []
-        for i in range(n - 1):
-            hit = np.flatnonzero(alike(sketch[i + 1 :], sketch[i][None, :]) >= NEAR)
-            a.append(np.full(len(hit), i))
-            b.append(hit + i + 1)
-        known = np.asarray(table.column("near")) >= NEAR
         tied = np.flatnonzero(known)
-        root = roots(n, np.concatenate([*a, tied[1:]]), np.concatenate([*b, tied[:-1]]))
+        a, b = [tied[1:]], [tied[:-1]]
+        for i in np.flatnonzero(~known):
+            hit = np.flatnonzero(alike(sketch, sketch[i][None, :]) >= NEAR)
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+        root = roots(n, np.concatenate(a), np.concatenate(b))
         x = table.column("x").combine_chunks()
         moved = np.flatnonzero((root != np.arange(n)) & ~(known & known[root]))
         if len(moved):
             yield pa.RecordBatch.from_arrays([x.take(pa.array(moved)), x.take(pa.array(root[moved]))], names=["u", "v"])
 
 
+def dealt_sides(rows: DataFrame, block: int) -> DataFrame:
+    """Deals the rows of a bucket (n_near, n_far) to groups (kind, b1, b2) in which every far row meets every other row; near rows need not meet. A bucket within `block` is one group."""
+    whole = F.col("n_near") + F.col("n_far") <= block
+    near, far = (F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int") for c in ("n_near", "n_far"))
+    mine = lambda n: F.pmod(F.xxhash64("x", F.lit(77)), n).cast("int")
+    key = lambda kind, b1, b2: F.struct(F.lit(kind).alias("kind"), b1.alias("b1"), b2.alias("b2"))
+    to_far = F.transform(F.sequence(F.lit(0), far - 1), lambda j: key(0, mine(near), j))
+    to_near = F.when(F.col("n_near") > 0, F.transform(F.sequence(F.lit(0), near - 1), lambda i: key(0, i, mine(far)))).otherwise(F.array().cast("array<struct<kind:int,b1:int,b2:int>>"))
+    among = F.transform(F.sequence(F.lit(0), far - 1), lambda j: key(1, F.least(mine(far), j), F.greatest(mine(far), j)))
+    keys = F.when(whole, F.array(key(1, F.lit(0), F.lit(0)))).when(F.col("near") >= NEAR, to_far).otherwise(F.concat(to_near, among))
+    return rows.withColumn("g", F.explode(keys)).select("path", "g.*", "x", "sketch", "near")
+
+
 def blocks(frame: DataFrame, size: str, block: int, key: str) -> DataFrame:
     """Deals each group's rows to pairs of blocks (b1, b2): every two rows of a group meet in one, and a group within `block` is one."""
     count = F.ceil(F.col(size) / block).cast("int")
@@ -243,10 +256,11 @@ def likely(nodes: DataFrame) -> DataFrame:
         seen = cut(rows.join(hubs, "path").where("x != hub").mapInArrow(against_hub, kind))
         found = seen.where(F.col("near") >= NEAR).select(F.col("x").alias("u"), F.col("hub").alias("v")).distinct()
         # where every node is near the hub, all are of one family
-        apart = seen.where((F.col("near") < NEAR) & (F.col("size") > 2)).select("path").distinct()
-        left = seen.where(F.col("near") < DEEP).join(apart, "path").select("path", "size", "x", "sketch", "near")
-        here = F.col("size") <= SMALL if level <= DEPTH else F.lit(True)
-        small = blocks(left.where(here), "size", SMALL, "x").repartition(n, "path", "b1", "b2").sortWithinPartitions("path", "b1", "b2")
+        left = seen.where(F.col("near") < DEEP)
+        sides = left.groupBy("path").agg(F.count_if(F.col("near") >= NEAR).alias("n_near"), F.count_if(F.col("near") < NEAR).alias("n_far")).where("n_far > 0 and n_near + n_far > 1")
+        left = cut(left.select("path", "x", "sketch", "near").join(sides, "path"))
+        here = (F.col("n_far") <= SMALL) if level <= DEPTH else F.lit(True)
+        small = dealt_sides(left.where(here), SMALL).repartition(n, "path", "kind", "b1", "b2").sortWithinPartitions("path", "kind", "b1", "b2")
         found = found.unionByName(small.mapInArrow(by_pairs, "u binary, v binary"))
         edges = found if edges is None else edges.unionByName(found)
         large = left.where(~here)
