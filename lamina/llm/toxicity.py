@@ -186,41 +186,61 @@ def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) ->
     return np.r_[b[:-1] / spread, b[-1] - (b[:-1] * mean / spread).sum()]
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, curve_rows: int = 4000) -> DataFrame:
-    """doc_id, held_out, score, predicted and the two evidences of every document.
+NAMES = ["mean_ratio", *[f"ratio_{r}" for r in RANKS]]
+
+
+def measured(rows: DataFrame, shared, at: int, kinds: str) -> DataFrame:
+    """Adds the evidences to a table of one struct column, `row`, whose field number `at` is the text. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            data, offsets = A.buffer(row.field(at))
+            found = [shared.value.evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
+            x = np.concatenate(found) if found else np.zeros((0, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([row, *map(pa.array, x.T.copy())], names=["row", *NAMES])
+
+    return rows.mapInArrow(run, f"row {kinds}, " + ", ".join(f"{c} double" for c in NAMES))
+
+
+def fold_of(key: str):
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5))
+
+
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000, curve_rows: int = 4000) -> DataFrame:
+    """row (the document's columns), the evidences, score and predicted of every document; documents are not shuffled.
 
     The labelled rows are chosen by hash order, so the choice does not depend
     on the data's layout.
     """
     spark = docs.sparkSession
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = known.withColumn("fold", fold).where("fold > 0").withColumn("z", F.xxhash64("doc_id"))
+    known = known.withColumn("fold", fold_of("doc_id")).where("fold > 0").withColumn("z", F.xxhash64("doc_id"))
     some = [known.where(f"fold < 4 and toxic = {c}").orderBy("z", "doc_id").limit(per_class) for c in (0, 1)]
     some.append(known.where("fold = 4").orderBy("z", "doc_id").limit(curve_rows))
-    chosen = some[0].unionByName(some[1]).unionByName(some[2]).select("doc_id", "toxic", "fold")
+    chosen = some[0].unionByName(some[1]).unionByName(some[2]).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "fold")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")  # at most 2 per_class + curve_rows ids
+    rows = base.join(F.broadcast(chosen), "doc_id")  # at most 2 per_class + curve_rows ids
     model = fit_models(rows.where("fold < 4"), base)
-    held = (fold == 0).alias("held_out")
-    names = ["mean_ratio", *[f"ratio_{r}" for r in RANKS]]
+    whole = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     if model is None:
         zero = F.lit(0.0)
-        return docs.select(F.col("doc_id").cast("long"), held, zero.alias("score"), F.lit(0).alias("predicted"), *[zero.alias(c) for c in names])
+        return whole.select("row", *[zero.alias(c) for c in NAMES], zero.alias("score"), F.lit(0).alias("predicted"))
     shared = spark.sparkContext.broadcast(model)
+    fitted = rows.where("fold = 4").select(F.struct("toxic", "text").alias("row"))
+    seen = measured(fitted, shared, 1, "struct<toxic: int, text: string>").select("row.toxic", *NAMES).toPandas()  # at most curve_rows
+    weights = curve(seen[NAMES].to_numpy(float), seen["toxic"].to_numpy(float)).tolist()
+    line = sum((F.col(c) * w for c, w in zip(NAMES, weights, strict=False)), F.lit(weights[-1]))
+    out = measured(whole, shared, docs.columns.index("text"), whole.schema["row"].dataType.simpleString())
+    return out.withColumn("score", 1 / (1 + F.exp(-line))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = A.buffer(A.rows(batch, "text"))
-            found = [shared.value.evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
-            x = np.concatenate(found) if found else np.zeros((0, 1 + len(RANKS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T.copy())], names=["id", *names])
 
-    def evidence(frame: DataFrame, key: str) -> DataFrame:
-        return frame.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in names))
+def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted and the evidences of every document."""
+    out = scored(docs.select("doc_id", "text"), labels, **options).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    return out.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "score", "predicted", *NAMES)
+
 
-    seen = evidence(rows.where("fold = 4"), "toxic").toPandas()
-    weights = curve(seen[names].to_numpy(float), seen["id"].to_numpy(float)).tolist()
-    line = sum((F.col(c) * w for c, w in zip(names, weights, strict=False)), F.lit(weights[-1]))
-    out = evidence(base, "doc_id").withColumnRenamed("id", "doc_id").withColumn("score", 1 / (1 + F.exp(-line)))
-    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *names)
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that are not predicted to be toxic, in their columns."""
+    return scored(docs, labels, **options).where("predicted = 0").select("row.*")
