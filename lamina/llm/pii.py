@@ -32,9 +32,11 @@ PATTERNS = {
     "awskey": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
     "secret": r"(?<=[=:\"'\s])(?<=[=:]\s{0,3}[\"']?)(?<=(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[^\s\"']{6,200}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
+    "key": r"\b(?:gh[pousr]|xox[abpr]|sk|pk|rk)[-_](?=[A-Za-z0-9_-]*\d)[A-Za-z0-9_-]{16,200}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "man": r"(?<= )(?=\p{Lu})(?<=\b(?:Mr\.?|Mister|Sir|Herr|Monsieur|Señor|Sr\.|г-н|господин) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
     "woman": r"(?<= )(?=\p{Lu})(?<=\b(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|г-жа|госпожа) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
@@ -59,7 +61,7 @@ EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 def kind_of(value: Column) -> Column:
     """Type of a mention; the lookbehind of a pattern is not part of it, so names and secrets are told by what is left."""
     out = F.when(value.rlike(f"^(?:{PATTERNS['email']})$"), "email").when(value.rlike(r"^A(?:KIA|SIA)[0-9A-Z]{16}$"), "awskey")
-    for kind in ("ip", "iban", "ssn", "phone", "card"):
+    for kind in ("ip", "ipv6", "key", "iban", "ssn", "phone", "card"):
         out = out.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return out.otherwise("secret")
 
@@ -140,6 +142,8 @@ def surrogate(kind: Column, form: Column, turn: Column) -> Column:
             F.when(kind == "email", plain(0, tail))
             .when(kind == "awskey", plain(4))
             .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."))
+            .when(kind == "ipv6", F.regexp_replace(plain(0), "[g-zG-Z]", "a"))
+            .when(kind == "key", plain(4))
             .when(kind == "card", luhn(plain(0)))
             .when(kind == "phone", plain(1))
             .when(kind == "iban", plain(2))

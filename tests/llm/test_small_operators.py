@@ -54,6 +54,7 @@ def test_surrogates(spark):
         (4, None),
         (5, ""),
         (6, "nothing here"),
+        (7, "call 212-555-0199, host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 with ghp_16C7e42F292c6912E7710c838347Ae178B4a"),
     ]
     got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     a, b, c = got[1], got[2], got[3]
@@ -66,6 +67,7 @@ def test_surrogates(spark):
     assert spaced.replace(" ", "") == joined and sum((d * 2 - 9 if d * 2 > 9 else d * 2) if i % 2 == 0 else d for i, d in enumerate(map(int, joined))) % 10 == 0
     assert all(0 <= int(x) <= 255 for x in re.search(r"ip ([\d.]+),", b)[1].split("."))
     assert re.search(r"г-жа (\w+) \w+$", c)[1] in pii.GIVEN["cyrillic"]["woman"]
+    assert re.fullmatch(r"call \d{3}-\d{3}-\d{4}, host (?:[0-9a-f]{4}:){7}[0-9a-f]{4} with ghp_\w{36}", got[7]) and "0199" not in got[7] and "0db8" not in got[7] and "16C7e42F" not in got[7]
     assert got[4] is None and got[5] == "" and got[6] == "nothing here"
 
 
