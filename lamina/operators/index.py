@@ -95,3 +95,40 @@ def split(rows: DataFrame, key: str, share: float = 0.9, seed: int = 0) -> DataF
     """Adds is_train: true for about `share` of the keys, by hash."""
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return rows.withColumn("is_train", number < share)
+
+
+#: Options that each kind of sampler takes.
+SAMPLERS = {"sequential": {"rank", "world"}, "epoch": {"seed", "epoch", "size", "rank", "world"}, "infinite": {"seed", "start", "n"}, "hierarchical": {"n", "magnifications", "buckets", "seed", "start"}}
+
+
+def sampler(kind: str, rows: DataFrame, ordinal: str, **options) -> DataFrame:
+    """Rows in the order of a sampler; options that the kind does not take are refused.
+
+    sequential: every world-th row. epoch: a keyed shuffle of seed times epoch,
+    the first `size` rows, strided. infinite: draws with replacement from
+    `start` on, each a function of its number.
+    """
+    if kind not in SAMPLERS or not set(options) <= SAMPLERS[kind]:
+        raise ValueError(f"{kind} sampler does not take {sorted(set(options) - SAMPLERS.get(kind, set()))}")
+    rank, world = options.get("rank", 0), options.get("world", 1)
+    if kind == "sequential":
+        return strided(rows, ordinal, rank, world).orderBy(ordinal)
+    if kind == "epoch":
+        key = F.xxhash64(F.col(ordinal), F.lit(options.get("seed", 0) * options.get("epoch", 0)))
+        first = rows.withColumn("_k", key).orderBy("_k", ordinal)
+        if "size" in options:
+            first = first.limit(options["size"])
+        return first.where(F.pmod(F.col("_k"), F.lit(world)) == rank).drop("_k")
+    if kind == "infinite":
+        total = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
+        drawn = rows.sparkSession.range(options.get("start", 0), options.get("start", 0) + options["n"]).withColumnRenamed("id", "draw")
+        drawn = drawn.crossJoin(F.broadcast(total)).withColumn(ordinal, rng.random_index(options.get("seed", 0), F.col("draw"), 0, F.col("_n"))).drop("_n")
+        return drawn.join(rows, ordinal)
+    raise ValueError("hierarchical draws need the compiled index: see draws()")
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """Tile entries of either stored version: with a level (patch sizes double with each) or with a level-0 patch size."""
+    if "patch_size_level0" in rows.columns:
+        return rows.select("x", "y", "slide_id", "patch_size_level0")
+    return rows.select("x", "y", "slide_id", (F.lit(256) * F.pow(F.lit(2), F.col("level"))).cast("int").alias("patch_size_level0"))

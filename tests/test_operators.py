@@ -107,3 +107,17 @@ def test_checks(spark):
     got = checks.all_of([checks.same_keys("s", a, b, ["k"]), checks.unique("u", b, ["k"])]).collect()
     assert [(r.name, r.passed, r.violations) for r in got] == [("s", False, 1), ("u", True, 0)]
     assert tuple(buckets.unmatched(a, b, ["k"]).first()) == (0, 1, 0)
+
+
+def test_samplers(spark):
+    rows = spark.range(20).withColumnRenamed("id", "i")
+    assert [r.i for r in index.sampler("sequential", rows, "i", rank=1, world=5).collect()] == [1, 6, 11, 16]
+    parts = [r.i for k in range(3) for r in index.sampler("epoch", rows, "i", seed=3, epoch=2, rank=k, world=3).collect()]
+    assert sorted(parts) == list(range(20))
+    a = {r.draw: r.i for r in index.sampler("infinite", rows, "i", seed=1, n=30).collect()}
+    b = {r.draw: r.i for r in index.sampler("infinite", rows, "i", seed=1, start=10, n=20).collect()}
+    assert all(a[k] == v for k, v in b.items())
+    with pytest.raises(ValueError):
+        index.sampler("sequential", rows, "i", seed=1)
+    old = spark.createDataFrame([(1, 2, 3, 1)], "x int, y int, slide_id int, level int")
+    assert index.entries_of(old).first().patch_size_level0 == 512
