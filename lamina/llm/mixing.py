@@ -94,12 +94,16 @@ def schedule(
     rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", F.when(able, F.array(*finish)).alias("finish")))
     copies = rows.select("doc_id", "size", "target", F.posexplode("finish").alias("copy", "f"))
     copies = copies.withColumn("fb", F.floor(F.col("f") * BUCKETS).cast("long"))
-    budget = rows.agg(F.sum("size").alias("all")).select((F.col("all") * share).alias("budget"))  # one row
-    placed = running(copies, [], "fb", ["f", "doc_id", "copy"], "size", "at").crossJoin(F.broadcast(budget))
-    last = placed.where(F.col("at") <= F.col("budget")).agg(F.max(F.struct("f", "doc_id", "copy")).alias("last"))  # one row
-    taken = sum((F.when(F.struct(F.col("finish")[c].alias("f"), F.col("doc_id"), F.lit(c).alias("copy")) <= F.col("last"), 1).otherwise(0) for c in range(most)), F.lit(0))
-    out = rows.crossJoin(F.broadcast(last))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("finish").isNotNull() & F.col("last").isNotNull(), taken).otherwise(0).cast("long").alias("copies"), "finish")
+    budget = (rows.agg(F.sum("size")).first()[0] or 0) * share  # one number
+    placed = running(copies, [], "fb", ["f", "doc_id", "copy"], "size", "at")
+    last = placed.where(F.col("at") <= budget).agg(F.max(F.struct("f", "doc_id", "copy")).alias("last")).first()[0]  # the last copy that is taken
+    if last is None:
+        count = F.lit(0)
+    else:
+        cut_at = F.struct(F.lit(last["f"]).alias("f"), F.lit(last["doc_id"]).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["copy"]).alias("copy"))
+        count = sum((F.when(F.struct(F.col("finish")[c].alias("f"), F.col("doc_id"), F.lit(c).alias("copy")) <= cut_at, 1).otherwise(0) for c in range(most)), F.lit(0))
+    copies_of = F.when(F.col("finish").isNotNull(), count).otherwise(0).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies_of.alias("copies"), "finish")
 
 
 def taken(docs: DataFrame) -> DataFrame:
