@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
-from lamina.llm._session import partitions
+from lamina.llm._session import arrow_map, partitions
 
 LAST = (1 << 63) - 1
 #: Text whose records are made at a time.
@@ -407,11 +407,11 @@ def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_colum
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     kind = FACTOR if how.within else SPAN
-    first = base.mapInArrow(pivots(how, keys), RECORD).repartition(n, "bucket")
-    found = first.mapInArrow(shared_pivots(how, keys), RECORD).repartition(n, "bucket").mapInArrow(by_document("<u4"), FOUND)
-    second = base.join(found, ["k", "h"]).mapInArrow(candidates(how, keys, settle), RECORD).repartition(n, "bucket")
-    marked = second.mapInArrow(resolved(how, keys, settle), RECORD).repartition(n, "bucket").mapInArrow(by_document(kind), FOUND)
-    out = base.join(marked, ["k", "h"], "left").mapInArrow(finish, schema)
+    first = arrow_map(base, pivots(how, keys), RECORD).repartition(n, "bucket")
+    found = arrow_map(arrow_map(first, shared_pivots(how, keys), RECORD).repartition(n, "bucket"), by_document("<u4"), FOUND)
+    second = arrow_map(base.join(found, ["k", "h"]), candidates(how, keys, settle), RECORD).repartition(n, "bucket")
+    marked = arrow_map(arrow_map(second, resolved(how, keys, settle), RECORD).repartition(n, "bucket"), by_document(kind), FOUND)
+    out = arrow_map(base.join(marked, ["k", "h"], "left"), finish, schema)
     return out.withColumn("k", F.when(F.col("k") != LAST, F.col("k"))).withColumnRenamed("k", id_column)
 
 

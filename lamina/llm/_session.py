@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.llm._arrow import lean
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Makes checkpoint() usable: the cluster's spark.checkpoint.dir, or, where it is unset (tests), a local folder."""
@@ -15,6 +17,17 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(frame: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes (8 MB unless the session says otherwise), as texts may be long, and workers that give memory back."""
+    spark = frame.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+    return frame.mapInArrow(lean(run), schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

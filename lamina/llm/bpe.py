@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm._session import arrow_map
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = 200_000
@@ -206,9 +207,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids
                 part = batch.slice(at, 1000)
                 ids = vocabulary.encode(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*[f"k{i}" for i in range(len(keep))], "ids"])
+        vocabulary.words.clear()  # the worker lives on
+        vocabulary.follows.clear()
 
     kinds = ", ".join(f"k{i} {frame.schema[i].dataType.simpleString()}" for i in range(len(keep)))
-    out = frame.mapInArrow(run, f"{kinds}{', ' if kinds else ''}ids binary")
+    out = arrow_map(frame, run, f"{kinds}{', ' if kinds else ''}ids binary")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(into))
 
 
@@ -228,7 +231,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", into: str = "de
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, encoded.schema, strict=True))
-    out = encoded.toDF(*names).mapInArrow(run, f"{kinds}, decoded string")
+    out = arrow_map(encoded.toDF(*names), run, f"{kinds}, decoded string")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, encoded.columns, strict=True)], F.col("decoded").alias(into))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
 from lamina.llm._repeats import LAST, windows_inside
-from lamina.llm._session import cut, partitions
+from lamina.llm._session import arrow_map, cut, partitions
 
 WORDS = 5
 BINS = 128
@@ -254,7 +254,7 @@ def likely(nodes: DataFrame) -> DataFrame:
         hubs = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("x", "sketch")).alias("hub")).where("size > 1")
         hubs = hubs.select("path", "size", F.col("hub.x").alias("hub"), F.col("hub.sketch").alias("hub_sketch"))
         kind = "path long, size long, x binary, sketch binary, hub binary, near double"
-        seen = cut(rows.join(hubs, "path").where("x != hub").mapInArrow(against_hub, kind))
+        seen = cut(arrow_map(rows.join(hubs, "path").where("x != hub"), against_hub, kind))
         found = seen.where(F.col("near") >= NEAR).select(F.col("x").alias("u"), F.col("hub").alias("v")).distinct()
         # where every node is near the hub, all are of one family
         left = seen.where(F.col("near") < DEEP)
@@ -262,12 +262,12 @@ def likely(nodes: DataFrame) -> DataFrame:
         left = cut(left.select("path", "x", "sketch", "near").join(sides, "path"))
         here = (F.col("n_far") <= SMALL) if level <= DEPTH else F.lit(True)
         small = dealt_sides(left.where(here), SMALL).repartition(n, "path", "kind", "b1", "b2").sortWithinPartitions("path", "kind", "b1", "b2")
-        found = found.unionByName(small.mapInArrow(by_pairs, "u binary, v binary"))
+        found = found.unionByName(arrow_map(small, by_pairs, "u binary, v binary"))
         edges = found if edges is None else edges.unionByName(found)
         large = left.where(~here)
         if level > DEPTH or large.isEmpty():
             break
-        rows = large.mapInArrow(descend(level), "path long, x binary, sketch binary")
+        rows = arrow_map(large, descend(level), "path long, x binary, sketch binary")
     return edges
 
 
@@ -329,16 +329,16 @@ def join(docs: DataFrame, part: int = 5, whole: int = 4, id_column: str = "doc_i
     n = partitions(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), body.alias("text"))
-    seen = cut(base.mapInArrow(embedded, "k long, h long, x binary, n long, sketch binary, paths array<long>"))
+    seen = cut(arrow_map(base, embedded, "k long, h long, x binary, n long, sketch binary, paths array<long>"))
     nodes = seen.groupBy("x").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "h", "sketch", "paths")).alias("d")).select("x", "copies", F.col("d.k").alias("k"), F.col("d.h").alias("h"), "d.sketch", "d.paths")
     nodes = cut(nodes)
     families = components(likely(nodes)).withColumnRenamed("node", "x").withColumnRenamed("root", "family")
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     asked = families.join(sizes, "family").join(nodes.select("x", "copies", "k", "h"), "x").dropDuplicates(["x"])
     sets = base.join(asked, ["k", "h"]).select("family", "size", "x", "copies", "text")
-    sets = sets.mapInArrow(with_sets, "family binary, size long, x binary, copies long, members binary")
+    sets = arrow_map(sets, with_sets, "family binary, size long, x binary, copies long, members binary")
     dealt = blocks(sets, "size", BLOCK, "x").repartition(n, "family", "b1", "b2").sortWithinPartitions("family", "b1", "b2")
-    exact = cut(dealt.mapInArrow(verified(part, whole), "x binary, links long, root binary"))
+    exact = cut(arrow_map(dealt, verified(part, whole), "x binary, links long, root binary"))
     links = exact.groupBy("x").agg(F.sum("links").alias("links"))
     classes = components(exact.select(F.col("x").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "x")
     of = nodes.select("x", "copies").join(links, "x", "left").join(classes, "x", "left")

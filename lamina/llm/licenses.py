@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
+from lamina.llm._session import arrow_map
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -254,5 +255,5 @@ def scan(
                 )
 
     frame = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = frame.mapInArrow(run, SCHEMA)
+    out = arrow_map(frame, run, SCHEMA)
     return out.withColumnRenamed("doc_id", id_column)

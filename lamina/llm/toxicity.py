@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
-from lamina.llm._session import cut
+from lamina.llm._session import arrow_map, cut
 
 DISCOUNT = 0.95
 RANKS = (2, 4)
@@ -113,7 +113,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 n = np.diff(np.r_[head, len(v)])
                 yield pa.RecordBatch.from_arrays([pa.array(c[head]), pa.array(v[head].view(np.int64)), pa.array(w[head].view(np.int64)), pa.array(n)], names=["c", "v", "w", "n"])
 
-    return docs.select("toxic", "text").mapInArrow(run, "c long, v long, w long, n long").groupBy("c", "v", "w").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("toxic", "text"), run, "c long, v long, w long, n long").groupBy("c", "v", "w").agg(F.sum("n").alias("n"))
 
 
 def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
@@ -131,7 +131,7 @@ def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["w", "n"])
 
-    found = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(docs.select("text"), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(words) + 1)
     out[found["w"].to_numpy()] = found["n"].to_numpy()
     return out, int(out.sum())
@@ -200,7 +200,7 @@ def measured(rows: DataFrame, shared, at: int, kinds: str) -> DataFrame:
             x = np.concatenate(found) if found else np.zeros((0, len(NAMES)))
             yield pa.RecordBatch.from_arrays([row, *map(pa.array, x.T.copy())], names=["row", *NAMES])
 
-    return rows.mapInArrow(run, f"row {kinds}, " + ", ".join(f"{c} double" for c in NAMES))
+    return arrow_map(rows, run, f"row {kinds}, " + ", ".join(f"{c} double" for c in NAMES))
 
 
 def fold_of(key: str):
