@@ -82,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lamina.llm import mixing, quality
+    from lamina.llm import mixing, quality, substring
 
-    return {"op1_line_frequency": quality.ORACLE, "op3_fair_queue_mix": mixing.ORACLE}
+    return {"op1_line_frequency": quality.ORACLE, "op3_fair_queue_mix": mixing.ORACLE, "op5_relative_lz": substring.ORACLE}

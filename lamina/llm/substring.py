@@ -101,3 +101,15 @@ def dedup(docs: DataFrame, length: int = 20, gram: int = 8, id_column: str = "do
 
 def digests(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+s AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS content FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)),
+m AS (SELECT doc_id, p, CAST(row_number() OVER (PARTITION BY content ORDER BY doc_id, p) > 1 AS INT) AS again FROM s),
+c AS (SELECT doc_id, p, word, coalesce(max(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone FROM x LEFT JOIN m USING (doc_id, p))
+SELECT d.doc_id, count(word) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone = 0), '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id
+"""
