@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.documents import canonical_hash
-from lamina.operators import buckets, checks, clusters, index, neighbours, semantic
+from lamina.operators import buckets, checks, clusters, index, semantic
 from lamina.plans.manifest import Manifest, ManifestError, run_stages
 from lamina.sources import writers
 
@@ -160,6 +160,3 @@ def compiled(spark: SparkSession, folder: str, tiles: DataFrame, masks: DataFram
     contract = {"schema_version": 1, "source": identity, "magnifications": mags, "entries": groups.agg(F.sum("n_entries")).first()[0]}
     writers.json_atomic(str(place / "manifest.json"), contract)
     return contract
-
-
-__all__ = ["STAGES", "Inputs", "apart", "compiled", "invariants", "neighbours", "owned", "run"]
