@@ -7,7 +7,9 @@ by digit and letter by letter within their case and script, so length, format
 and type stay; names keep gender and script. Two entities that would get the
 same surrogate, or a surrogate that is itself an entity of the corpus, are
 found by grouping; all but one of them go on to their next digest until none is
-left. A text is then rebuilt from the pieces between its mentions.
+left. Later digests give longer surrogates, so that distinct ones never run out:
+names, e-mails, secrets and keys grow with every turn, formats of fixed length
+only after ROUNDS turns. A text is then rebuilt from the pieces between its mentions.
 
 Only documents that may hold an entity leave the scan; the rest pass through.
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from lamina.llm._session import cut
 
 KEY = "surrogate-key-1"
+#: Turns in which types of fixed length keep it; later candidates are longer.
 ROUNDS = 12
 
 #: Patterns of entity types, tried in this order.
@@ -73,43 +76,51 @@ def canonical(kind: Column, value: Column) -> Column:
 
 
 def digest(kind: Column, form: Column, turn: Column) -> Column:
-    """Numbers 0 to 255, as many as the form has characters."""
+    """Numbers 0 to 255, as many as the form has characters, in blocks of 32."""
     block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(KEY), kind, form, turn.cast("string"), i.cast("string")), 256)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 32).cast("int")), block), "")
-    return text
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 32).cast("int")), block)
 
 
-def drawn(digits: Column, i: Column, letters: str) -> Column:
-    """A letter of `letters` by the i-th number of a digest."""
-    number = F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.substring(F.lit(letters), number % len(letters) + 1, F.lit(1))
+def number(digits: Column, i: Column) -> Column:
+    """The i-th number of a digest."""
+    return F.conv(F.substring(F.get(digits, F.floor(i / 32).cast("int")), i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def characters(form: Column, digits: Column, start: Column, keep_last: Column | None = None) -> Column:
-    """The form with its letters and digits replaced in class; characters before start and from keep_last on stay."""
+def characters(form: Column, digits: Column, start: Column, stop: Column) -> Column:
+    """The form with its letters and digits replaced in class; characters before start and from stop on stay."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(form, i + 1, F.lit(1))
-        out = F.when(i < start, c)
-        if keep_last is not None:
-            out = out.when(i >= keep_last, c)
-        first = drawn(digits, i, "123456789")  # a number does not begin to start with 0
-        out = out.when(c.rlike("[0-9]"), F.when((i == start) & (c != "0"), first).otherwise(drawn(digits, i, "0123456789")))
+    def one(c: Column, i: Column, x: Column, hexadecimal: Column) -> Column:
+        drawn = lambda letters: F.substring(F.lit(letters), x % len(letters) + 1, F.lit(1))
+        cased = lambda letters: F.when(c.rlike(r"\p{Lu}"), F.upper(drawn(letters))).otherwise(drawn(letters))
         return (
-            out.when(c.rlike("[a-f]") & form.rlike("^[0-9a-f]+$"), drawn(digits, i, "abcdef"))
-            .when(c.rlike("[A-Z]"), drawn(digits, i, LETTERS["upper"]))
-            .when(c.rlike("[a-z]"), drawn(digits, i, LETTERS["lower"]))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), F.upper(drawn(digits, i, LETTERS["cyrillic"]))).otherwise(drawn(digits, i, LETTERS["cyrillic"])))
-            .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), F.upper(drawn(digits, i, LETTERS["greek"]))).otherwise(drawn(digits, i, LETTERS["greek"])))
-            .when(c.rlike(r"\p{L}"), drawn(digits, i, LETTERS["lower"]))
+            F.when((i < start) | (i >= stop), c)
+            .when(c.rlike("[0-9]"), F.when((i == start) & (c != "0"), drawn("123456789")).otherwise(drawn("0123456789")))  # a number does not begin to start with 0
+            .when(c.rlike("[a-f]") & hexadecimal, drawn("abcdef"))
+            .when(c.rlike("[A-Z]"), drawn(LETTERS["upper"]))
+            .when(c.rlike("[a-z]"), drawn(LETTERS["lower"]))
+            .when(c.rlike(r"\p{IsCyrillic}"), cased(LETTERS["cyrillic"]))
+            .when(c.rlike(r"\p{IsGreek}"), cased(LETTERS["greek"]))
+            .when(c.rlike(r"\p{L}"), drawn(LETTERS["lower"]))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(form) - 1), one), "")
+    return bound(form.rlike("^[0-9a-f]+$"), lambda h: F.array_join(F.transform(F.split(form, ""), lambda c, i: bound(number(digits, i), lambda x: one(c, i, x, h))), ""))
+
+
+def grown(kind: Column, form: Column, turn: Column) -> Column:
+    """Further characters of this turn, 32 at most: syllables for names, letters for e-mails, digits for others."""
+    person, first = kind.isin("man", "woman"), F.substring_index(form, " ", 1)
+    letters = lambda cyrillic, greek, latin: F.when(first.rlike(r"\p{IsCyrillic}"), cyrillic).when(first.rlike(r"\p{IsGreek}"), greek).otherwise(latin)
+    plain = F.when(kind == "email", LETTERS["lower"]).otherwise("0123456789")
+    even, odd = F.when(person, letters("бвгдклмнпрст", "βγδκλμνπρστχ", "bdfgklmnprst")).otherwise(plain), F.when(person, letters("аеиоу", "αειου", "aeiou")).otherwise(plain)
+    n = F.when(person, turn * 4).when(kind.isin("email", "secret", "key"), turn).otherwise(turn - ROUNDS)
+    more = F.array(F.sha2(F.concat_ws("\x1f", F.lit(KEY), kind, form, turn.cast("string"), F.lit("more")), 256))
+    pick = lambda i, x: F.substring(x, number(more, i) % F.length(x) + 1, F.lit(1))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(32)) - 1), lambda i: pick(i, F.when(i % 2 == 0, even).otherwise(odd))), "")).otherwise("")
 
 
 def luhn(number: Column) -> Column:
@@ -126,55 +137,55 @@ def luhn(number: Column) -> Column:
 
 
 def surrogate(kind: Column, form: Column, turn: Column) -> Column:
-    """Candidate of this turn in canonical form."""
-
-    def made(d: Column) -> Column:
-        plain = lambda start, last=None: characters(form, d, F.lit(start), last)
-        tail = F.length(form) - F.length(F.substring_index(form, ".", -1)) - 1
-        octet = lambda i: (F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string")
-        name = lambda g: F.array_join(
-            F.transform(F.split(form, " "), lambda w, i: F.when(
-                i == 0,
-                F.when(w.rlike(r"\p{IsCyrillic}"), F.element_at(F.array(*map(F.lit, GIVEN["cyrillic"][g])), F.conv(F.substring(d, 1, 4), 16, 10).cast("int") % len(GIVEN["cyrillic"][g]) + 1))
-                .when(w.rlike(r"^[\p{IsLatin}'-]+$"), F.element_at(F.array(*map(F.lit, GIVEN["latin"][g])), F.conv(F.substring(d, 1, 4), 16, 10).cast("int") % len(GIVEN["latin"][g]) + 1))
-                .otherwise(characters(w, d, F.lit(0)))).otherwise(F.initcap(characters(w, d, F.lit(0))))), " ")
+    """Candidate of this turn in canonical form; the space it is drawn from grows with the turn."""
+
+    def given(script: str, d: Column) -> Column:
+        of = lambda g: F.element_at(F.array(*map(F.lit, GIVEN[script][g])), F.conv(F.substring(F.get(d, F.lit(0)), 1, 4), 16, 10).cast("int") % len(GIVEN[script][g]) + 1)
+        return F.when(kind == "man", of("man")).otherwise(of("woman"))
+
+    def name(d: Column, more: Column) -> Column:
+        first = lambda w, x: F.when(w.rlike(r"\p{IsCyrillic}"), given("cyrillic", d)).when(w.rlike(r"^[\p{IsLatin}'-]+$"), given("latin", d)).otherwise(x)
+        word = lambda w, i: bound(characters(w, d, F.lit(0), F.length(w)), lambda x: F.when(i == 0, F.concat(first(w, x), more)).otherwise(F.initcap(x)))
+        return F.array_join(F.transform(F.split(form, " "), word), " ")
+
+    def made(d: Column, more: Column) -> Column:
+        octet = lambda i: (number(d, i) % 254 + 1).cast("string")
+        after = lambda mark: F.when(more != "", F.concat(F.lit(mark), more)).otherwise("")
+        start = F.when(kind.isin("awskey", "key"), 4).when(kind == "phone", 1).when(kind == "iban", 2).otherwise(0)
+        stop = F.when(kind == "email", F.length(form) - F.length(F.substring_index(form, ".", -1)) - 1).otherwise(F.length(form))
         return (
-            F.when(kind == "email", plain(0, tail))
-            .when(kind == "awskey", plain(4))
-            .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."))
-            .when(kind == "ipv6", F.regexp_replace(plain(0), "[g-zG-Z]", "a"))
-            .when(kind == "key", plain(4))
-            .when(kind == "card", luhn(plain(0)))
-            .when(kind == "phone", plain(1))
-            .when(kind == "iban", plain(2))
-            .when(kind == "man", name("man"))
-            .when(kind == "woman", name("woman"))
-            .otherwise(plain(0))
-        )
+            F.when(kind.isin("man", "woman"), name(d, more))
+            .when(kind == "ip", F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."), after(":")))
+            .otherwise(bound(characters(form, d, start, stop), lambda x: (
+                F.when(kind == "email", F.concat(more, x))
+                .when(kind == "ipv6", F.concat(F.regexp_replace(x, "[g-zG-Z]", "a"), after("%")))
+                .when(kind == "card", bound(F.concat(x, more), luhn))
+                .otherwise(F.concat(x, more)))))
+        )
 
-    return bound(digest(kind, form, turn), made)
+    return bound(digest(kind, form, turn), lambda d: bound(grown(kind, form, turn), lambda more: made(d, more)))
 
 
-def assign(entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def assign(entities: DataFrame) -> DataFrame:
     """kind, form, surrogate: distinct entities with distinct surrogates, none of which is an entity.
 
     Each round groups the candidates; of those that clash, all but the first
-    turn to their next candidate. Only clashes cost a further round.
+    turn to their next candidate. Only clashes cost a further round, and as
+    candidates grow with the turn, the rounds end when none is left.
     """
     held = cut(entities.select("kind", "form", F.lit(0).alias("turn")).withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("turn"))))
-    for _ in range(rounds):
+    while True:
         firsts = held.groupBy("kind", "surrogate").agg(F.min(F.struct("turn", "form")).alias("first"), F.count(F.lit(1)).alias("n"))
         taken = entities.select(F.col("kind").alias("k_"), F.col("form").alias("f_"))
         real = (F.col("kind") == F.col("k_")) & (canonical(F.col("kind"), F.col("surrogate")) == F.col("f_"))
         bad = firsts.join(taken, real, "left").where("n > 1 or f_ is not null")
         bad = bad.select(F.col("kind").alias("k_"), F.col("surrogate").alias("s_"), F.when(F.col("f_").isNull(), F.col("first.form")).alias("stays"))
         if bad.isEmpty():
-            break
+            return held.select("kind", "form", "surrogate")
         clash = held.join(bad, (F.col("kind") == F.col("k_")) & (F.col("surrogate") == F.col("s_")), "left")
         moves = F.col("s_").isNotNull() & (F.col("stays").isNull() | (F.col("stays") != F.col("form")))
         turned = clash.select("kind", "form", F.when(moves, F.col("turn") + 1).otherwise(F.col("turn")).alias("turn"), F.when(~moves, F.col("surrogate")).alias("old"))
         held = cut(turned.select("kind", "form", "turn", F.coalesce("old", surrogate(F.col("kind"), F.col("form"), F.col("turn"))).alias("surrogate")))
-    return held.select("kind", "form", "surrogate")
 
 
 def rendered(kind: Column, value: Column, made: Column) -> Column:
@@ -184,6 +195,7 @@ def rendered(kind: Column, value: Column, made: Column) -> Column:
         F.transform(F.sequence(F.lit(0), F.length(value) - 1), lambda i: bound(F.substring(value, i + 1, F.lit(1)), lambda c: F.when(c.rlike("[0-9A-Za-z]"), F.substring(made, place(i + 1), F.lit(1))).otherwise(c))),
         "",
     )
+    spaced = F.concat(spaced, F.substring(made, place(F.length(value)) + 1, F.length(made)))
     upper = (F.upper(value) == value) & (F.lower(value) != value)
     return F.when(kind.isin("ssn", "phone", "card", "iban"), spaced).when((kind == "email") & upper, F.upper(made)).when(kind.isin("man", "woman") & upper, F.upper(made)).otherwise(made)
 
