@@ -33,10 +33,10 @@ ROUNDS = 12
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "awskey": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
-    "secret": r"(?<=[=:\"'\s])(?<=[=:]\s{0,3}[\"']?)(?<=(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[^\s\"']{6,200}",
+    "secret": r"(?<=[=:\"'\s])(?<=[=:]\s{0,3}[\"']?)(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[^\s\"']{6,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ipv6": r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
-    "key": r"\b(?:gh[pousr]|xox[abpr]|sk|pk|rk)[-_](?=[A-Za-z0-9_-]*\d)[A-Za-z0-9_-]{16,200}",
+    "key": r"\b(?:gh[pousr]|xox[abpr]|sk|pk|rk)[-_](?=[A-Za-z0-9_-]*\d)[A-Za-z0-9_-]{16,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
@@ -44,7 +44,7 @@ PATTERNS = {
     "man": r"(?<= )(?=\p{Lu})(?<=\b(?:Mr\.?|Mister|Sir|Herr|Monsieur|Señor|Sr\.|г-н|господин) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
     "woman": r"(?<= )(?=\p{Lu})(?<=\b(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|г-жа|госпожа) )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
-#: Names follow one of these titles, secrets one of these words.
+#: Names follow one of these titles, secrets one of these words in any case.
 TITLES = ("Mr", "Ms", "Mis", "Sir ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Mme ", "Señor", "Sr. ", "Sra. ", "г-н", "г-жа", "господин", "госпожа")
 SECRETS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
 
@@ -217,7 +217,7 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def may_hold(text: Column) -> Column:
     """Cheap test that no text with an entity fails."""
-    return F.coalesce(text.rlike("[0-9@]") | has_any(text, SECRETS + TITLES), F.lit(False))
+    return F.coalesce(text.rlike("[0-9@]") | has_any(text, TITLES) | has_any(F.lower(text), SECRETS), F.lit(False))
 
 
 def replace(docs: DataFrame, text: str = "text", count: str | None = None) -> DataFrame:

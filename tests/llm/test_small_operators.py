@@ -107,6 +107,15 @@ def test_surrogates_outgrow_fixed_formats(spark):
     assert row.s == "987-65-4321012"
 
 
+def test_surrogates_of_long_secrets(spark):
+    token, key = "".join(f"{i:x}Zq" for i in range(300)), "sk-" + "a1B2" * 120
+    rows = [(1, f"token={token} end"), (2, f"use {key} now"), (3, 'TOKEN = "QWERTYUIOPAS"'), (4, "Password: hunterhunter"), (5, "API_KEY=abcdefghijk"), (6, "Secret agents are no secret")]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[1]) == len(rows[0][1]) and got[1].startswith("token=") and got[1].endswith(" end") and not any(token[i : i + 12] in got[1] for i in range(0, len(token) - 12))
+    assert got[2].startswith("use sk-") and got[2].endswith(" now") and "a1B2" * 3 not in got[2]
+    assert "QWERTY" not in got[3] and got[3].startswith('TOKEN = "') and "hunter" not in got[4] and "abcdefghijk" not in got[5] and got[6] == rows[5][1]
+
+
 def test_surrogates_edges(docs, empty, doubled):
     assert pii.replace(empty).count() == 0 and pii.replace(doubled).count() == doubled.count()
     out = pii.replace(docs)
