@@ -2,7 +2,9 @@
 
 The automaton holds the tokens of all templates. Files are streamed through it:
 after each token the state tells the longest suffix of the file that occurs in
-some template. Where that length stops growing a maximal match ends; matches of
+some template, and its suffix links the shorter ones that occur at further
+places. Where the template goes on otherwise than the file, a match at that place
+ends, so a match inside a longer one of another template counts too; matches of
 at least `shortest` tokens (or a whole shorter template) are chained, in the
 order of both file and template, into spans of a template, and a template is
 reported when its spans cover enough of it. Only stretches whose neighbouring
@@ -76,6 +78,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[set[tuple[int, int]]] = [set()]
+        self.rows = rows
         for t, row in enumerate(rows):
             state = 0
             for i, token in enumerate(row):
@@ -115,11 +118,10 @@ class Automaton:
             self.link[made] = self._split(p, token)
         return made
 
-    def matches(self, row: list[int]) -> Iterator[tuple[int, int, int]]:
-        """End, length and state of each maximal match, from the matching statistics of the row."""
+    def walk(self, row: list[int]) -> Iterator[tuple[int, int]]:
+        """Matching statistics of the row: length and state after each token."""
         state = size = 0
-        for i, token in enumerate(row):
-            before, held = size, state
+        for token in row:
             while state and token not in self.next[state]:
                 state = self.link[state]
                 size = self.length[state]
@@ -127,10 +129,28 @@ class Automaton:
                 state, size = self.next[state][token], size + 1
             else:
                 size = 0
+            yield size, state
+
+    def matches(self, row: list[int]) -> Iterator[tuple[int, int, int]]:
+        """End, length and state of each maximal match."""
+        before = held = 0
+        for i, (size, state) in enumerate(self.walk(row)):
             if before and size <= before:
                 yield i, before, held
-        if size:
-            yield len(row), size, state
+            before, held = size, state
+        if before:
+            yield len(row), before, held
+
+    def places(self, row: list[int], shortest: int) -> Iterator[tuple[int, int, int, int]]:
+        """End, length, template and last token there of each match of at least `shortest` tokens that its template does not carry on."""
+        for i, (size, state) in enumerate(self.walk(row)):
+            token, longer = row[i + 1] if i + 1 < len(row) else -1, set()
+            while state > 0 and size >= shortest:
+                for t, stop in self.ends[state] - longer:
+                    if stop + 1 == len(self.rows[t]) or self.rows[t][stop + 1] != token:
+                        yield i + 1, size, t, stop
+                longer, state = self.ends[state], self.link[state]
+                size = self.length[state]
 
 
 class Scanner:
@@ -147,6 +167,7 @@ class Scanner:
         self.rows = [[number[w] for w in row] for row in rows]
         self.phrases = [([number[w] for w in row], label) for row, label in zip(spoken, phrases.values(), strict=True)]
         self.automaton = Automaton(self.rows)
+        self.least = min([shortest, *[len(row) for row in self.rows if row]])
         n = len(known) + 1
         self.near = np.zeros((n, n), bool)  # a bounded table: the templates' words squared
         for row in self.rows:
@@ -169,10 +190,9 @@ class Scanner:
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             if b - a + 1 < min(self.shortest, 3):
                 continue
-            for end, size, state in self.automaton.matches(ids[a : b + 1].tolist()):
-                for t, stop in self.automaton.ends[state]:
-                    if size >= min(self.shortest, len(self.rows[t])):
-                        found.setdefault(int(row[a]), []).append((a + end - size, stop + 1 - size, size, t))
+            for end, size, t, stop in self.automaton.places(ids[a : b + 1].tolist(), self.least):
+                if size >= min(self.shortest, len(self.rows[t])):
+                    found.setdefault(int(row[a]), []).append((a + end - size, stop + 1 - size, size, t))
         return found
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> dict[int, tuple[float, int, int]]:

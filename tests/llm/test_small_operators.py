@@ -245,3 +245,14 @@ def test_licences(spark, docs, empty, doubled):
     assert (got[5].n_words, got[5].n_base, got[5].first_word, got[5].labels, got[5].score) == (0, 0, None, "", 0.0)
     assert got[6].labels == "mit" and got[6].spans[0].first == 0 and got[6].spans[0].last == 4
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0 and licenses.scan(doubled).count() == doubled.count()
+
+
+def test_nested_licences(spark):
+    """A template inside a longer match of another is counted, whole or in part."""
+    rows = [(1, "Licensed under the Apache License, Version 2.0. The project is old"), (2, 'Licensed under the Apache License, Version 2.0 (the "License")')]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.labels == "apache-2.0" and r.score == 1 and (r.spans[0].first, r.spans[0].last) == (0, 7) for r in got.values())
+    templates = {"long": "a b c d e f g h i j k l m n o p q r s t u v w x", "inner": "c d e f g", "most": "d e f g h i z z"}
+    texts = [(1, "a b c d e f g h i j"), (2, "c d e f g"), (3, "q r s t")]
+    own = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), templates).collect()}
+    assert own[1].labels == "inner,most" and own[2].labels == "inner" and own[3].labels == ""
