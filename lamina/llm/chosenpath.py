@@ -35,9 +35,8 @@ from lamina.llm._session import arrow_map, cut, partitions
 
 WORDS = 5
 BINS = 128
-RUNS = 4
-CHILDREN = 2.5  # expected choices of a node: a link at 0.8 shares 2 a run, and is missed by all runs with chance e**-8
-DEEPER = 1.6  # the same below the first level: 1.28 shared choices from each shared path, of which a link has 8 on average
+RUNS = 5
+CHILDREN = 2.5  # expected choices of a node on each level: a link at 0.8 shares 2 a run, and 2 below each shared path. A shared path dies out over three descents with chance 0.19: a link is missed by all runs with chance e**-10 where no bucket descends, e**-8 at worst
 SMALL = 256
 DEPTH = 4
 NEAR = 0.4  # estimates at or above join a family
@@ -137,7 +136,7 @@ def descend(level: int):
                 path = np.asarray(A.rows(part, "path")).view(np.uint64)
                 token = sketch + (np.arange(BINS, dtype=np.uint64) << A.U(8))[None, :] + A.U(level << 20)
                 p = A.mix(A.mix(token * A.U(0x9E3779B97F4A7C15)) ^ path[:, None])
-                chance = np.minimum(1.0, DEEPER / np.maximum(1, np.count_nonzero(sketch, 1)))
+                chance = np.minimum(1.0, CHILDREN / np.maximum(1, np.count_nonzero(sketch, 1)))
                 row, col = np.nonzero((sketch > 0) & (p < (chance * 0.9999999 * 2.0**64).astype(np.uint64)[:, None]))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(A.mix(p[row, col]).view(np.int64)), A.rows(part, "x").take(take), A.rows(part, "sketch").take(take)], names=["path", "x", "sketch"])

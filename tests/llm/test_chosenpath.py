@@ -1,5 +1,7 @@
 import collections
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.llm import chosenpath as C
@@ -74,3 +76,20 @@ def test_components(spark):
     edges = [(b"%d" % a, b"%d" % b) for a, b in [(2, 1), (3, 2), (4, 3), (9, 8), (7, 9), (5, 5)]]
     got = {bytes(r.node): bytes(r.root) for r in C.components(spark.createDataFrame(edges, "u binary, v binary")).collect()}
     assert got == {b"1": b"1", b"2": b"1", b"3": b"1", b"4": b"1", b"7": b"7", b"8": b"7", b"9": b"7"}
+
+
+def test_paths_survive_descents():
+    """Links at 0.8 whose buckets all descend keep the stated recall."""
+    r, n = np.random.default_rng(3), 20000
+    one = r.integers(1, 256, (n, C.BINS)).astype(np.uint8)
+    two = np.where(r.random(one.shape) < 0.8, one, one % 255 + 1).astype(np.uint8)
+    path, of = np.arange(n) + 1, np.arange(n)
+    for level in range(2, C.DEPTH + 1):
+        made = []
+        for sketch in (one, two):
+            batch = pa.RecordBatch.from_arrays([pa.array(path), pa.array([int(i).to_bytes(4, "big") for i in of], pa.binary()), pa.array([s.tobytes() for s in sketch[of]], pa.binary())], names=["path", "x", "sketch"])
+            out = pa.Table.from_batches(list(C.descend(level)(iter([batch]))))
+            made.append(set(zip(out["path"].to_pylist(), out["x"].to_pylist(), strict=True)))
+        both = sorted(made[0] & made[1])
+        path, of = np.array([p for p, _ in both]), np.array([int.from_bytes(x, "big") for _, x in both])
+    assert C.RUNS * C.CHILDREN * 0.8 * len(set(of.tolist())) / n >= 8
