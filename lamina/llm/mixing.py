@@ -28,12 +28,18 @@ SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def identity(key: Column, text: Column, source: Column) -> Column:
+    """Tells rows apart that differ in id, text or source, nulls included."""
+    return F.xxhash64(*[x for c in (key, text, source) for x in (c.isNull(), c.cast("string"))])
+
+
 def sized(docs: DataFrame, id_column: str, text: str, source: str, seed: str) -> DataFrame:
-    """id, source, size and shuffle key z of every document; written once, as later steps read it often."""
+    """id, source, size, identity h and shuffle key z of every document; written once, as later steps read it often."""
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        identity(F.col(id_column), F.col(text), F.col(source)).alias("h"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary")).alias("z"),
     )
     return cut(rows.withColumn("b", F.conv(F.substring("z", 1, 3), 16, 10).cast("int") % BUCKETS))
@@ -83,27 +89,27 @@ def schedule(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix takes the document)."""
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), finish times and identity h."""
     rows = sized(docs, id_column, text, source, seed)
     goals = targets(rows, weights, share, most)
-    rows = running(rows, ["source"], "b", ["z", "doc_id", "size"], "size", "cum")
+    rows = running(rows, ["source"], "b", ["z", "doc_id", "size", "h"], "size", "cum")
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target")
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     finish = [((F.col("cum") + F.col("source_size") * c) / F.col("target")) for c in range(most)]
     able = (F.col("size") > 0) & (F.col("target") > 0)
-    rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", F.when(able, F.array(*finish)).alias("finish")))
-    copies = rows.select("doc_id", "size", "target", F.posexplode("finish").alias("copy", "f"))
+    rows = cut(rows.select("doc_id", "h", "source", "size", "source_size", "target", F.when(able, F.array(*finish)).alias("finish")))
+    copies = rows.select("doc_id", "h", "size", "target", F.posexplode("finish").alias("copy", "f"))
     copies = copies.withColumn("fb", F.floor(F.col("f") * BUCKETS).cast("long"))
     budget = (rows.agg(F.sum("size")).first()[0] or 0) * share  # one number
-    placed = running(copies, [], "fb", ["f", "doc_id", "copy"], "size", "at")
-    last = placed.where(F.col("at") <= budget).agg(F.max(F.struct("f", "doc_id", "copy")).alias("last")).first()[0]  # the last copy that is taken
+    placed = running(copies, [], "fb", ["f", "doc_id", "copy", "h"], "size", "at")
+    last = placed.where(F.col("at") <= budget).agg(F.max(F.struct("f", "doc_id", "copy", "h")).alias("last")).first()[0]  # the last copy that is taken
     if last is None:
         count = F.lit(0)
     else:
-        cut_at = F.struct(F.lit(last["f"]).alias("f"), F.lit(last["doc_id"]).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["copy"]).alias("copy"))
-        count = sum((F.when(F.struct(F.col("finish")[c].alias("f"), F.col("doc_id"), F.lit(c).alias("copy")) <= cut_at, 1).otherwise(0) for c in range(most)), F.lit(0))
+        cut_at = F.struct(F.lit(last["f"]).alias("f"), F.lit(last["doc_id"]).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["copy"]).alias("copy"), F.lit(last["h"]).cast("long").alias("h"))
+        count = sum((F.when(F.struct(F.col("finish")[c].alias("f"), F.col("doc_id"), F.lit(c).alias("copy"), F.col("h")) <= cut_at, 1).otherwise(0) for c in range(most)), F.lit(0))
     copies_of = F.when(F.col("finish").isNotNull(), count).otherwise(0).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies_of.alias("copies"), "finish")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies_of.alias("copies"), "finish", "h")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -113,11 +119,20 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, each as often as it is taken, in their columns; ids must be unique."""
-    plan = schedule(docs, **options).where("copies > 0")
-    key = options.get("id_column", "doc_id")
-    plan = plan.select(F.col("doc_id").alias(key), F.col("copies").alias("_copies"))
-    out = docs.join(plan, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    """The mixed documents, each as often as it is taken, in their columns.
+
+    Rows of equal id, text and source share what is taken of them: of n such
+    rows and c copies, c % n come out once more than c // n times.
+    """
+    key, text, source = (F.col(options.get(k, v)) for k, v in (("id_column", "doc_id"), ("text", "text"), ("source", "source")))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    plan = schedule(docs, **options).select(name(F.col("doc_id")).alias("_id"), F.col("h").alias("_h"), "copies")
+    plan = plan.groupBy("_id", "_h").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).where("_copies > 0")
+    out = docs.select("*", name(key).alias("_id"), identity(key, text, source).alias("_h")).join(plan, ["_id", "_h"])
+    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))
+    out = out.where("_n = 1").withColumn("_turn", F.lit(1)).unionByName(out.where("_n > 1").withColumn("_turn", turn))
+    times = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_turn") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
+    out = out.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select(*docs.columns)
 
 

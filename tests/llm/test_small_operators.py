@@ -162,6 +162,18 @@ def test_mix(docs, empty, doubled):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.taken // r["size"] for r in rows if r["size"])
 
 
+def test_mix_of_repeated_ids(spark, doubled):
+    """Rows without id are not lost, and rows of equal id come out as often as the mix takes them."""
+    rows = [(1, "one two three", "a"), (1, "one two three", "a"), (1, "other words of it", "a"), (None, "no id here", "a"), (None, "none here either", "b"), (2, "a b c", "b"), (2, "a b c", "c")]
+    for frame in (spark.createDataFrame(rows, "doc_id long, text string, source string"), doubled):
+        own = mixing.identity(F.col("doc_id"), F.col("text"), F.col("source")).alias("own")
+        of = {r.own: (r.doc_id, r.source, r.text) for r in frame.select("doc_id", "source", "text", own).collect()}
+        want = collections.Counter()
+        for r in mixing.schedule(frame).collect():
+            want[of[r.h]] += r.copies
+        assert collections.Counter((r.doc_id, r.source, r.text) for r in mixing.mix(frame).collect()) == +want and any(k[0] is None for k in +want)
+
+
 # --- fingerprints ----------------------------------------------------------------
 
 
