@@ -557,7 +557,7 @@ def m06_regression_sweep(spark, d):
     from lamina.operators import regression
 
     e = P.table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
-    return regression.sweep(index.split(e, "vec_id"), [0.01, 1.0, 100.0], iterations=20)
+    return regression.sweep(index.split(e, "vec_id"), regression.STRENGTHS)
 
 
 # --- ordered -----------------------------------------------------------------

@@ -40,3 +40,13 @@ def test_entry(spark):
 def test_seeds_cover(spark):
     got = catalogue.QUERIES["r04_weighted_magnifications"](spark, SF).collect()
     assert sum(r.n for r in got) == 4000 and {r.magnification for r in got} == {5, 10, 20, 40}
+
+
+def test_sweep_is_whole(spark, monkeypatch):
+    """The sweep runs over all strengths with the operator's own iterations."""
+    from lamina.operators import regression
+
+    asked = []
+    monkeypatch.setattr(regression, "sweep", lambda rows, strengths, *a, **b: asked.append((len(strengths), a, b)))
+    catalogue.QUERIES["m06_regression_sweep"](spark, SF)
+    assert asked == [(45, (), {})]
