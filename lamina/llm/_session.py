@@ -55,7 +55,7 @@ MOST_TASKS = 200_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def arrow_map(frame: DataFrame, run, schema: str) -> DataFrame:
+def arrow_map(frame: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with batches bounded in bytes (8 MB unless the session says otherwise), as texts may be long, and workers that give memory back."""
     spark = frame.sparkSession
     if spark.conf.get(BATCH_BYTES, None) is None:

@@ -14,6 +14,7 @@ of pre-tokens; columns other than the key and the text are not touched.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 from collections.abc import Iterator
@@ -22,8 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lamina.llm._session import arrow_map, named
 
-from lamina.llm._session import arrow_map
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = 200_000
@@ -178,15 +181,21 @@ def read_text(spark, path: str) -> str:
         return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
-    text = shared.value
-    if id(text) not in _loaded:
+    """The worker's vocabulary, by the digest of the file it was read from: workers live on and may serve another file."""
+    digest, text = shared.value
+    if digest not in _loaded:
         _loaded.clear()
-        _loaded[id(text)] = Vocabulary(text)
-    return _loaded[id(text)]
+        _loaded[digest] = Vocabulary(text)
+    return _loaded[digest]
+
+
+def shared_text(spark, path: str):
+    text = read_text(spark, path)
+    return spark.sparkContext.broadcast((hashlib.sha256(text.encode()).hexdigest(), text))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -196,9 +205,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids
     tokenizer file, whose size does not depend on the data, is broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_text(spark, tokenizer))
+    shared = shared_text(spark, tokenizer)
     keep = ["doc_id"] if keep is None else keep
-    frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t"))
+    frame = docs.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)], named(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared)
@@ -210,15 +219,14 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids
         vocabulary.words.clear()  # the worker lives on
         vocabulary.follows.clear()
 
-    kinds = ", ".join(f"k{i} {frame.schema[i].dataType.simpleString()}" for i in range(len(keep)))
-    out = arrow_map(frame, run, f"{kinds}{', ' if kinds else ''}ids binary")
+    out = arrow_map(frame, run, T.StructType([*frame.schema.fields[:-1], T.StructField("ids", T.BinaryType())]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(into))
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the text of a column of ids, special tokens kept."""
     spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(read_text(spark, tokenizer))
+    shared = shared_text(spark, tokenizer)
     at = encoded.columns.index(ids)
     names = [f"k{i}" for i in range(len(encoded.columns))]
 
@@ -230,8 +238,8 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", into: str = "de
                 texts = [vocabulary.decode(x) if x else "" for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, encoded.schema, strict=True))
-    out = arrow_map(encoded.toDF(*names), run, f"{kinds}, decoded string")
+    frame = encoded.toDF(*names)
+    out = arrow_map(frame, run, T.StructType([*frame.schema.fields, T.StructField("decoded", T.StringType())]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, encoded.columns, strict=True)], F.col("decoded").alias(into))
 
 

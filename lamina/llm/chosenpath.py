@@ -22,6 +22,7 @@ an empty result; other columns of the table are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
 from lamina.llm._repeats import LAST, windows_inside
-from lamina.llm._session import arrow_map, cut, partitions
+from lamina.llm._session import arrow_map, cut, named, partitions, unpacked, whole_rows
 
 WORDS = 5
 BINS = 128
-RUNS = 5
-CHILDREN = 2.5  # expected choices of a node on each level: a link at 0.8 shares 2 a run, and 2 below each shared path. A shared path dies out over three descents with chance 0.19: a link is missed by all runs with chance e**-10 where no bucket descends, e**-8 at worst
+RECALL = 0.9995
+CHILDREN = 2.5  # expected choices of a node on each level
 SMALL = 256
 DEPTH = 4
 NEAR = 0.4  # estimates at or above join a family
@@ -44,6 +45,18 @@ DEEP = 0.8  # a node this near its hub has no link to one that is not near it: J
 BLOCK = 1024
 
 
+def runs_for(recall: float, similarity: float) -> int:
+    """Runs until a link at this similarity is met with this chance, even if all its buckets descend to the last level.
+
+    In a run such a pair shares CHILDREN * similarity paths, Poisson distributed,
+    and as many below each shared path of a bucket that descends.
+    """
+    shared, dies = CHILDREN * similarity, 0.0
+    for _ in range(DEPTH - 1):
+        dies = math.exp(-shared * (1 - dies))
+    return max(1, math.ceil(-math.log(1 - recall) / (shared * (1 - dies))))
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS):
     """Distinct shingles of each row in ascending order, and the rows' offsets among them."""
     starts, ends, row = A.words(data, offsets)
@@ -72,9 +85,14 @@ def sums(values: np.ndarray, by: np.ndarray) -> np.ndarray:
     return total[by[1:]] - total[by[:-1]]
 
 
-def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def embedded(runs: int):
     """k, h, node digest x, n shingles, sketch and first paths of each document that has words."""
-    for batch in batches:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from one(batch)
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = A.buffer(A.rows(batch, "text"))
         for i, j in A.slices(offsets):
             value, by = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -90,7 +108,7 @@ def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filled = np.count_nonzero(sketch, 1)
             chance = np.minimum(1.0, CHILDREN / np.maximum(1, filled))[row[first]]
             paths, of = [], []
-            for run in range(RUNS):
+            for run in range(runs):
                 p = A.mix(value[first] ^ A.mix(np.array([run + 1], np.uint64)))
                 taken = p < (chance * 0.9999999 * 2.0**64).astype(np.uint64)
                 paths.append(A.mix(p[taken] + A.U(run)))
@@ -105,6 +123,8 @@ def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["k", "h", "x", "n", "sketch", "paths"],
             )
 
+    return run
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     data, _ = A.buffer(column)
@@ -221,6 +241,12 @@ def blocks(frame: DataFrame, size: str, block: int, key: str) -> DataFrame:
     return frame.withColumn("b1", F.least("b0", "b")).withColumn("b2", F.greatest("b0", "b")).drop("b")
 
 
+def apart(frame: DataFrame, key: str, *aggregates) -> DataFrame:
+    """groupBy(key).agg(...), its rows dealt by another expression than the key's: a join on the key then deals both sides anew, so that adaptive execution can split a hot key of the other side."""
+    out = frame.groupBy(F.struct(key).alias("apart")).agg(*aggregates)
+    return out.withColumn(key, F.col(f"apart.{key}")).drop("apart")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of the edges (u, v), by large-star and small-star steps."""
     edges = cut(edges.where("u != v").distinct())
@@ -231,10 +257,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = apart(both, "u", F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = apart(down, "u", F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
         now = mark(edges)
@@ -250,7 +276,7 @@ def likely(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(F.explode("paths").alias("path"), "x", "sketch")
     edges = None
     for level in range(2, DEPTH + 2):
-        hubs = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("x", "sketch")).alias("hub")).where("size > 1")
+        hubs = apart(rows, "path", F.count(F.lit(1)).alias("size"), F.min(F.struct("x", "sketch")).alias("hub")).where("size > 1")
         hubs = hubs.select("path", "size", F.col("hub.x").alias("hub"), F.col("hub.sketch").alias("hub_sketch"))
         kind = "path long, size long, x binary, sketch binary, hub binary, near double"
         seen = cut(arrow_map(rows.join(hubs, "path").where("x != hub"), against_hub, kind))
@@ -297,13 +323,13 @@ def verified(part: int, whole: int):
             shared = (np.bincount(group) > 1)[group]
             column, member = group[shared], row[order][shared]
             _, column = np.unique(column, return_inverse=True)
-            common = np.zeros((n, n), np.float32)
+            common = np.zeros((n, n), np.int64)
             for low in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
                 a, b = np.searchsorted(column, [low, low + 4096])
                 some, place = np.unique(member[a:b], return_inverse=True)
                 block = np.zeros((len(some), int(column[b - 1]) - low + 1), np.float32)
                 block[place, column[a:b] - low] = 1
-                common[np.ix_(some, some)] += block @ block.T
+                common[np.ix_(some, some)] += (block @ block.T).astype(np.int64)  # at most 4,096 a block, exact in float32
             size = np.diff(by)
             linked = common * (part + whole) >= whole_sum(size, whole, part)
             np.fill_diagonal(linked, False)
@@ -320,15 +346,15 @@ def verified(part: int, whole: int):
 
 def whole_sum(size: np.ndarray, whole: int, part: int) -> np.ndarray:
     """common / (a + b - common) >= whole / part, as common * (part + whole) >= whole * (a + b)."""
-    return (whole * (size[:, None] + size[None, :])).astype(np.float32)
+    return whole * (size[:, None] + size[None, :])
 
 
-def join(docs: DataFrame, part: int = 5, whole: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, h (id and text hash), root (its class; null without words), class_id and n_links of every document, for a similarity of whole / part or more."""
+def join(docs: DataFrame, part: int = 5, whole: int = 4, recall: float = RECALL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, h (id and text hash), root (its class; null without words), class_id and n_links of every document, for a similarity of whole / part or more; runs are repeated until links at that similarity are met with a chance of `recall`."""
     n = partitions(docs.sparkSession)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), body.alias("text"))
-    seen = cut(arrow_map(base, embedded, "k long, h long, x binary, n long, sketch binary, paths array<long>"))
+    body = F.coalesce(named(text).cast("string"), F.lit(""))
+    base = docs.select(F.coalesce(named(id_column).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), body.alias("text"))
+    seen = cut(arrow_map(base, embedded(runs_for(recall, whole / part)), "k long, h long, x binary, n long, sketch binary, paths array<long>"))
     nodes = seen.groupBy("x").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k", "h", "sketch", "paths")).alias("d")).select("x", "copies", F.col("d.k").alias("k"), F.col("d.h").alias("h"), "d.sketch", "d.paths")
     nodes = cut(nodes)
     families = components(likely(nodes)).withColumnRenamed("node", "x").withColumnRenamed("root", "family")
@@ -360,8 +386,7 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     found = join(docs, id_column=id_column, text=text)
     kept = found.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "h")).alias("one"))
     bare = F.lit(r"[^\x20\x09-\x0D]")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = [F.col(c) for c in docs.columns]
-    rows = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), F.regexp_like(body, bare).alias("some"))
+    body = F.coalesce(named(text).cast("string"), F.lit(""))
+    rows = docs.select(whole_rows(docs), F.coalesce(named(id_column).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), F.regexp_like(body, bare).alias("some"))
     out = rows.where("some").join(kept.select("one.k", "one.h"), ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
-    return out.unionByName(rows.where(~F.col("some"))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return out.unionByName(rows.where(~F.col("some"))).select(*unpacked(docs.columns))

@@ -10,7 +10,7 @@ task.
 Edge cases: a null text has size 0; a null source is a source of its own, the
 last one; sizeless documents are never taken; repeated rows are documents of
 their own; an empty table gives an empty result; other columns pass `mix`
-unread.
+unread, under any name and of any type.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm._session import cut
+from lamina.llm._session import UNKNOWN, bytes_of, cut, named, unpacked, whole_rows
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+#: Least number of ranges that running sums are taken in; it grows with the table, one more for each RANGE_BYTES.
 BUCKETS = 4096
+RANGE_BYTES = 32 << 20
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,16 +35,21 @@ def identity(key: Column, text: Column, source: Column) -> Column:
     return F.xxhash64(*[x for c in (key, text, source) for x in (c.isNull(), c.cast("string"))])
 
 
-def sized(docs: DataFrame, id_column: str, text: str, source: str, seed: str) -> DataFrame:
-    """id, source, size, identity h and shuffle key z of every document; written once, as later steps read it often."""
+def ranges(docs: DataFrame) -> int:
+    size = bytes_of(docs)
+    return BUCKETS if size >= UNKNOWN else max(BUCKETS, size // RANGE_BYTES)
+
+
+def sized(docs: DataFrame, id_column: str, text: str, source: str, seed: str, n: int) -> DataFrame:
+    """id, source, size, identity h, shuffle key z and its range b of n of every document; written once, as later steps read it often."""
     rows = docs.select(
-        F.col(id_column).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        identity(F.col(id_column), F.col(text), F.col(source)).alias("h"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary")).alias("z"),
+        named(id_column).alias("doc_id"),
+        named(source).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(named(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        identity(named(id_column), named(text), named(source)).alias("h"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(named(id_column).cast("string"), F.lit(""))).cast("binary")).alias("z"),
     )
-    return cut(rows.withColumn("b", F.conv(F.substring("z", 1, 3), 16, 10).cast("int") % BUCKETS))
+    return cut(rows.withColumn("b", F.floor(F.conv(F.substring("z", 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("int")))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -90,7 +97,8 @@ def schedule(
     source: str = "source",
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document), finish times and identity h."""
-    rows = sized(docs, id_column, text, source, seed)
+    n = ranges(docs)
+    rows = sized(docs, id_column, text, source, seed, n)
     goals = targets(rows, weights, share, most)
     rows = running(rows, ["source"], "b", ["z", "doc_id", "size", "h"], "size", "cum")
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target")
@@ -99,7 +107,7 @@ def schedule(
     able = (F.col("size") > 0) & (F.col("target") > 0)
     rows = cut(rows.select("doc_id", "h", "source", "size", "source_size", "target", F.when(able, F.array(*finish)).alias("finish")))
     copies = rows.select("doc_id", "h", "size", "target", F.posexplode("finish").alias("copy", "f"))
-    copies = copies.withColumn("fb", F.floor(F.col("f") * BUCKETS).cast("long"))
+    copies = copies.withColumn("fb", F.floor(F.col("f") * n).cast("long"))
     budget = (rows.agg(F.sum("size")).first()[0] or 0) * share  # one number
     placed = running(copies, [], "fb", ["f", "doc_id", "copy", "h"], "size", "at")
     last = placed.where(F.col("at") <= budget).agg(F.max(F.struct("f", "doc_id", "copy", "h")).alias("last")).first()[0]  # the last copy that is taken
@@ -124,16 +132,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Rows of equal id, text and source share what is taken of them: of n such
     rows and c copies, c % n come out once more than c // n times.
     """
-    key, text, source = (F.col(options.get(k, v)) for k, v in (("id_column", "doc_id"), ("text", "text"), ("source", "source")))
+    key, text, source = (named(options.get(k, v)) for k, v in (("id_column", "doc_id"), ("text", "text"), ("source", "source")))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    plan = schedule(docs, **options).select(name(F.col("doc_id")).alias("_id"), F.col("h").alias("_h"), "copies")
-    plan = plan.groupBy("_id", "_h").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).where("_copies > 0")
-    out = docs.select("*", name(key).alias("_id"), identity(key, text, source).alias("_h")).join(plan, ["_id", "_h"])
-    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))
-    out = out.where("_n = 1").withColumn("_turn", F.lit(1)).unionByName(out.where("_n > 1").withColumn("_turn", turn))
-    times = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_turn") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    out = out.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(*docs.columns)
+    plan = schedule(docs, **options).select(name(F.col("doc_id")).alias("id"), "h", "copies")
+    plan = plan.groupBy("id", "h").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    out = docs.select(whole_rows(docs), name(key).alias("id"), identity(key, text, source).alias("h")).join(plan, ["id", "h"])
+    turn = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
+    out = out.where("n = 1").withColumn("turn", F.lit(1)).unionByName(out.where("n > 1").withColumn("turn", turn))
+    times = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("turn") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    out = out.withColumn("times", times.cast("int")).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*unpacked(docs.columns))
 
 
 ORACLE = rf"""

@@ -13,8 +13,9 @@ bigrams that were never seen.
 A text's evidence is the difference of its two log-likelihoods over its words
 (length-normalised), and the differences of its most toxic words (by rank,
 RANKS), which long texts do not dilute. A logistic curve, fitted on labelled
-rows that the models have not seen and with both classes weighing the same,
-makes it a score: 0.5 is the balanced cut.
+rows that the models have not seen, makes it a score. In the fit a class weighs
+as the square root of its rows, so the cut at 0.5 lies between that of the base
+rate, which misses many toxic texts, and the balanced one, which drops clean ones.
 
 Labelled rows fall into five folds by crc32 of the id's text: fold 0 is held
 out, folds 1 to 3 train the models on at most `per_class` rows and `class_bytes`
@@ -253,12 +254,13 @@ def fit_models(docs: DataFrame, corpus: DataFrame) -> Model | None:
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Logistic regression, both classes weighing the same, by Newton steps on standardised columns; weights for raw columns, the constant last."""
+    """Logistic regression by Newton steps on standardised columns, a class weighing the square root of its rows; weights for raw columns, the constant last."""
     if not len(y) or y.min() == y.max():
         return np.r_[np.ones(x.shape[1]), -1.0]
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / spread, np.ones(len(x))]
-    weight = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y <= 0).mean())
+    weight = np.where(y > 0, (y > 0).mean() ** -0.5, (y <= 0).mean() ** -0.5)
+    weight /= weight.mean()
     b = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))

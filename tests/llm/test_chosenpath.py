@@ -1,4 +1,5 @@
 import collections
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -92,4 +93,22 @@ def test_paths_survive_descents():
             made.append(set(zip(out["path"].to_pylist(), out["x"].to_pylist(), strict=True)))
         both = sorted(made[0] & made[1])
         path, of = np.array([p for p, _ in both]), np.array([int.from_bytes(x, "big") for _, x in both])
-    assert C.RUNS * C.CHILDREN * 0.8 * len(set(of.tolist())) / n >= 8
+    assert C.runs_for(C.RECALL, 0.8) * C.CHILDREN * 0.8 * len(set(of.tolist())) / n >= 8
+
+
+def test_recall_on_a_table(spark):
+    """Links of every document whose id is divisible by 20, against all rows by brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders = {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        for x in sets[i]:
+            holders[x].append(i)
+    got = {r.doc_id: r.n_links for r in C.classes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("doc_id % 20 = 0").collect()}
+    want = {}
+    for i in got:
+        common = collections.Counter(j for x in sets[i] for j in holders[x] if j != i)
+        want[i] = sum(5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n) for j, n in common.items())
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(want.values()) > 200 and sum(got.values()) >= 0.999 * sum(want.values())
