@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -143,16 +144,22 @@ def rows(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """run, with freed memory given back when the task ends: workers live on between tasks and stages."""
 
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another libc
-            pass
+        give_back()
 
     return wrapped

@@ -2,9 +2,9 @@
 
 Sets of equal content become one node first, so copies are never paired. A node
 is embedded into `BINS` tokens (the least shingle of each hash range). In each
-run a node descends along tokens that a hash of path and token selects, so two
-similar nodes descend along shared tokens with a chance that depends on their
-similarity; runs are repeated until the target recall. A bucket (a path) is
+run a node descends along tokens that an order of its path selects, so two nodes
+descend along shared tokens with a chance of their similarity; runs are repeated
+until the target recall. A bucket (a path) is
 compared with its hub first: nodes near the hub join its family, and those so
 near that all their partners must be near the hub too (Jaccard distance is a
 metric) need no further comparison. What is left of a small bucket is compared
@@ -36,8 +36,8 @@ from lamina.llm._session import arrow_map, cut, named, partitions, unpacked, who
 
 WORDS = 5
 BINS = 128
-RECALL = 0.9995
-CHILDREN = 2.5  # expected choices of a node on each level
+RECALL = 0.9999
+CHILDREN = 2  # tokens that a node chooses below a path whose bucket descends
 SMALL = 256
 DEPTH = 4
 NEAR = 0.4  # estimates at or above join a family
@@ -48,13 +48,23 @@ BLOCK = 1024
 def runs_for(recall: float, similarity: float) -> int:
     """Runs until a link at this similarity is met with this chance, even if all its buckets descend to the last level.
 
-    In a run such a pair shares CHILDREN * similarity paths, Poisson distributed,
-    and as many below each shared path of a bucket that descends.
+    A pair chooses the same token with a chance of its similarity: once a run,
+    and CHILDREN times below each path that it shares.
     """
-    shared, dies = CHILDREN * similarity, 0.0
+    lost = 0.0
     for _ in range(DEPTH - 1):
-        dies = math.exp(-shared * (1 - dies))
-    return max(1, math.ceil(-math.log(1 - recall) / (shared * (1 - dies))))
+        lost = (1 - similarity * (1 - lost)) ** CHILDREN
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity * (1 - lost))))
+
+
+def orders(runs: int) -> list[np.ndarray]:
+    """For each run an order of the bins; the first bins of the runs differ."""
+    keys = A.mix(np.arange((runs + 1) * BINS, dtype=np.uint64) + A.U(0xC0FFEE)).reshape(runs + 1, BINS)
+    first, out = np.argsort(keys[-1]), []
+    for run in range(runs):
+        rest = np.argsort(keys[run])
+        out.append(np.r_[first[run % BINS], rest[rest != first[run % BINS]]])
+    return out
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS):
@@ -105,21 +115,18 @@ def embedded(runs: int):
             first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])])
             sketch = np.zeros((j - i, BINS), np.uint8)
             sketch[row[first], bins[first]] = 1 + (value[first] & A.U(0xFF)) % A.U(255)
-            filled = np.count_nonzero(sketch, 1)
-            chance = np.minimum(1.0, CHILDREN / np.maximum(1, filled))[row[first]]
-            paths, of = [], []
-            for run in range(runs):
-                p = A.mix(value[first] ^ A.mix(np.array([run + 1], np.uint64)))
-                taken = p < (chance * 0.9999999 * 2.0**64).astype(np.uint64)
-                paths.append(A.mix(p[taken] + A.U(run)))
-                of.append(row[first][taken])
-            of, path = np.concatenate(of), np.concatenate(paths).view(np.int64)
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.r_[some, j - i]).astype(np.int32)
+            held = np.zeros((j - i, BINS), np.int64)  # where the value of a bin is
+            held[row[first], bins[first]] = first
+            paths, lines = [], np.arange(j - i)
+            for run, order in enumerate(orders(runs)):
+                bin_ = order[np.argmax(sketch[:, order] > 0, 1)]  # the first bin that is not empty
+                paths.append(A.mix(value[held[lines, bin_]] ^ A.mix(np.array([run + 1], np.uint64)))[some])
+            path = np.stack(paths, 1).view(np.int64).ravel()
+            cuts = (np.arange(len(some) + 1) * runs).astype(np.int32)
             binary = lambda m: pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer((np.arange(len(m) + 1) * m.shape[1] * m.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(m).tobytes())])
             keep = pa.array(some + i)
             yield pa.RecordBatch.from_arrays(
-                [A.rows(batch, "k").take(keep), A.rows(batch, "h").take(keep), binary(x), pa.array(np.diff(by)[some].astype(np.int64)), binary(sketch[some]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(path[order]))],
+                [A.rows(batch, "k").take(keep), A.rows(batch, "h").take(keep), binary(x), pa.array(np.diff(by)[some].astype(np.int64)), binary(sketch[some]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(path))],
                 names=["k", "h", "x", "n", "sketch", "paths"],
             )
 
@@ -146,20 +153,24 @@ def against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def descend(level: int):
-    """Next paths of the nodes of large buckets."""
+    """Next paths of the nodes of large buckets: each path orders the bins in its own way, and a node chooses the tokens of the first ones that it fills."""
+    bins = A.mix(np.arange(BINS, dtype=np.uint64) + A.U(level << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                sketch = matrix(A.rows(part, "sketch")).astype(np.uint64)
+                sketch = matrix(A.rows(part, "sketch"))
                 path = np.asarray(A.rows(part, "path")).view(np.uint64)
-                token = sketch + (np.arange(BINS, dtype=np.uint64) << A.U(8))[None, :] + A.U(level << 20)
-                p = A.mix(A.mix(token * A.U(0x9E3779B97F4A7C15)) ^ path[:, None])
-                chance = np.minimum(1.0, CHILDREN / np.maximum(1, np.count_nonzero(sketch, 1)))
-                row, col = np.nonzero((sketch > 0) & (p < (chance * 0.9999999 * 2.0**64).astype(np.uint64)[:, None]))
+                order = A.mix(path[:, None] ^ bins[None, :])
+                order[sketch == 0] = A.U((1 << 64) - 1)
+                col = np.argpartition(order, range(CHILDREN), 1)[:, :CHILDREN].ravel()
+                row = np.repeat(np.arange(len(path)), CHILDREN)
+                some = sketch[row, col] > 0
+                row, col = row[some], col[some]
+                token = sketch[row, col].astype(np.uint64) + (col.astype(np.uint64) << A.U(8)) + A.U(level << 20)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(A.mix(p[row, col]).view(np.int64)), A.rows(part, "x").take(take), A.rows(part, "sketch").take(take)], names=["path", "x", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(A.mix(path[row] ^ A.mix(token)).view(np.int64)), A.rows(part, "x").take(take), A.rows(part, "sketch").take(take)], names=["path", "x", "sketch"])
 
     return run
 

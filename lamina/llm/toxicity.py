@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm import _arrow as A
+from lamina.llm._arrow import give_back
 from lamina.llm._session import arrow_map, cut, named, unpacked, whole_rows
 
 STEMS = (6, 4)
@@ -196,13 +197,16 @@ def interpolated(n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit_models(docs: DataFrame, corpus: DataFrame) -> Model | None:
     """docs: text and toxic of the training rows. Counts of their bigrams and the corpus counts of their words reach the driver; the bounds on training rows and bytes bound both."""
-    grams = counts(docs)
-    v, w, *stems, toxic, ordinary = collected(grams, ["v", "w", *[f"s{s}" for s in STEMS], "t", "o"])
+    grams = cut(counts(docs))
+    v, w, toxic, ordinary = collected(grams.select("v", "w", F.col("t").cast("int").alias("t"), F.col("o").cast("int").alias("o")), ["v", "w", "t", "o"])
     if not (toxic.any() and ordinary.any()):
         return None
-    v, w, stems = v.view(np.uint64), w.view(np.uint64), [s.view(np.uint64) for s in stems]
-    words, first, of = np.unique(w, return_index=True, return_inverse=True)
-    above = [s[first] for s in stems]  # stems of each word
+    names = [f"s{s}" for s in STEMS]
+    words, *above = collected(grams.groupBy("w").agg(*[F.first(s).alias(s) for s in names]), ["w", *names])
+    v, w, words, *above = (x.view(np.uint64) for x in (v, w, words, *above))
+    order = np.argsort(words)
+    words, above = words[order], [s[order] for s in above]  # stems of each word
+    of = place(words, w)
     tables = [np.unique(s) for s in above]
     everything = corpus_counts(corpus)
     spark = corpus.sparkSession
@@ -311,6 +315,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000, class_byte
     base = docs.select(named(id_column).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     rows = chosen_rows(base, labels, per_class, class_bytes, curve_rows)
     model = fit_models(rows.where("fold < 4"), base)
+    give_back()
     whole = docs.select(whole_rows(docs))
     if model is None:
         zero = F.lit(0.0)
