@@ -7,12 +7,14 @@ share theirs, so a text falls into short stretches of one pivot each.
 
 Pass 1 deals the pivots out by hash and finds those that occur in more than one
 place; most do not, and their stretches are dropped. Pass 2 deals out the
-windows of the stretches that are left, with their content, and `resolve` says
-which of them repeat an earlier one. Both passes settle what repeats inside one
-Arrow batch at once and send one representative on, so the largest group that
-meets in a task has a record per batch, not per row. Records travel as packed
-columns. Whole texts cross the network once, keyed by document; both joins
-share that exchange.
+stretches that are left, with their text, into blocks keyed by pivot, and
+`settle` says which of a block's windows repeat an earlier one. Hashes choose
+candidates only; `settle` compares symbols. Both passes settle what repeats
+inside one Arrow batch at once and send one representative on, so the largest
+group that meets in a task has a record per batch, not per row. Records travel
+as packed columns, dealt to a number of tasks that follows the table's size.
+Whole texts cross the network once, keyed by document; both joins share that
+exchange.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
-from lamina.llm._session import arrow_map, partitions
+from lamina.llm._session import arrow_map, named, tasks_for
 
 LAST = (1 << 63) - 1
 #: Text whose records are made at a time.
 GROUP_BYTES = 1 << 21
+#: Table bytes (by the optimiser's estimate) for each task that gathers records.
+TASK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -38,14 +42,12 @@ class Symbols:
     """How texts become symbols, and which windows count as repeats.
 
     within: windows that repeat an earlier one of the same document count too.
-    content: windows travel as bytes (else as 64-bit hashes).
     """
 
     length: int
     gram: int
     words: bool
     within: bool
-    content: bool
 
     def read(self, data: np.ndarray, offsets: np.ndarray):
         """Symbols, their offsets by row, and word bounds."""
@@ -65,6 +67,88 @@ def windows_inside(offsets: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] of them, then those of the next range."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place of data, as numbers; beyond the end come zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of data at a and b, as long as size says, have equal bytes."""
+    lanes, same, who = lanes_of(data), np.ones(len(a), bool), np.arange(len(a))
+    done = 0
+    while len(who):
+        mask = A.TAIL[np.minimum(size[who] - done, 8)]
+        same[who] = (lanes[a[who] + done] & mask) == (lanes[b[who] + done] & mask)
+        done += 8
+        who = who[same[who] & (size[who] > done)]
+    return same
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word; two words have one number just if their bytes are equal."""
+    h, size = A.span_hashes(data, starts, ends), ends - starts
+    if not len(h):
+        return h.astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    group = groups(h[order])
+    first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])][group]
+    out = np.empty(len(h), np.int64)
+    out[order] = group
+    if not ((size[order] == size[first]) & equal_spans(data, starts[order], starts[first], size[first])).all():
+        known: dict[bytes, int] = {}  # two words of one hash
+        out = np.array([known.setdefault(data[i:j].tobytes(), len(known)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return out
+
+
+class Block:
+    """Stretches with their text: raw bytes, how many of them and how many windows each stretch has, its first window's place in the document, and the document's key."""
+
+    def __init__(self, how: Symbols, body: np.ndarray, size: np.ndarray, count: np.ndarray, start: np.ndarray, key: np.ndarray) -> None:
+        self.how, self.body = how, body
+        cuts = np.r_[0, np.cumsum(size)].astype(np.int64)
+        if how.words:
+            self.begin, self.end, row = A.words(body, cuts)
+            self.symbols, self.by = numbered(body, self.begin, self.end), np.searchsorted(row, np.arange(len(cuts)))
+        else:
+            self.begin, self.end, self.symbols, self.by = np.arange(len(body)), np.arange(1, len(body) + 1), body, cuts
+        self.count = count.astype(np.int64)
+        self.ends = np.cumsum(self.count)
+        self.at = spread(self.by[:-1], self.count)  # each window's first symbol
+        self.of = np.repeat(np.arange(len(count)), self.count)
+        self.start = start.astype(np.int64)[self.of] + self.at - self.by[self.of]
+        self.key = key[self.of]
+
+    def groups(self) -> np.ndarray:
+        """A number for each window; two windows have one number just if their symbols are equal."""
+        n = self.how.length
+        if not len(self.at):
+            return self.at
+        window = A.roll(A.mix(self.symbols.astype(np.uint64) + A.U(1)), n)[self.at]
+        order = np.argsort(window, kind="stable")
+        group = groups(window[order])
+        head = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
+        out = np.empty(len(group), np.int64)
+        out[order] = group
+        a, b = self.at, self.at[head][out]
+        if self.how.words:
+            same = np.ones(len(a), bool)
+            for i in range(n):
+                same &= self.symbols[a + i] == self.symbols[b + i]
+        else:
+            same = equal_spans(self.body, a, b, np.full(len(a), n))
+        if not same.all():  # two windows of one hash
+            _, out = np.unique(self.symbols[a[:, None] + np.arange(n)], axis=0, return_inverse=True)
+            out = out.ravel()
+        return out
+
+
 def stretches(symbols: np.ndarray, offsets: np.ndarray, how: Symbols):
     """First window, number of windows, pivot and row of each stretch."""
     empty = np.zeros(0, np.int64)
@@ -322,41 +406,36 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
         for i, j in A.slices(offsets[low : high + 1]):
             i, j = i + low, j + low
             base = offsets[i]
-            symbols, by, _ = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
+            symbols, by, bounds = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
             first, count, pivot, row = stretches(symbols, by, how)
             mark = ((row + i) << 32) | (first - by[row])
             at = np.searchsorted(wanted, mark)
             keep = np.r_[wanted, -1][at] == mark
             first, count, pivot, row = first[keep], count[keep], pivot[keep], row[keep]
-            ends = np.cumsum(count)
-            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
-            each = np.repeat(np.arange(len(first)), count)
-            text_at = index + base if how.content else np.zeros(0, np.int64)
-            got.append((A.roll(symbols, how.length)[index], np.repeat(pivot, count), row[each] + i, index - by[row[each]], text_at))
-        window, pivot, row, start, text_at = (np.concatenate(x) for x in zip(*got, strict=True))
-        if not len(window):
+            if bounds is None:
+                low_byte, high_byte = first, first + count + how.length - 1
+            else:
+                low_byte, high_byte = bounds[0][first], bounds[1][first + count + how.length - 2]
+            got.append((count, pivot, row + i, first - by[row], low_byte + base, high_byte - low_byte))
+        count, pivot, row, start, at, size = (np.concatenate(x) for x in zip(*got, strict=True))
+        if not len(count):
             return
-        again, *source = settle(window, k[row], start)
-        yield for_documents(*factors(again, row, start, *source), k, h, keys)
+        block = Block(how, data[spread(at, size)], size, count, start, k[row])
+        again, *source = settle(block)
+        of, each = row[block.of], block.start
+        yield for_documents(*factors(again, of, each, *source), k, h, keys)
         left = np.flatnonzero(~again)
         if not len(left):
             return
-        window, pivot, row, start = window[left], pivot[left], row[left], start[left]
-        text_at = text_at[left] if how.content else text_at
-        head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (pivot[1:] != pivot[:-1])])
-        count = np.diff(np.r_[head, len(row)])
+        pivot, of, each, place = pivot[block.of[left]], of[left], each[left], block.at[left]
+        head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (each[1:] != each[:-1] + 1) | (pivot[1:] != pivot[:-1])])
+        count = np.diff(np.r_[head, len(of)])
+        low_byte = block.begin[place[head]]
+        size = block.end[place[head] + count + how.length - 2] - low_byte
 
         def make(at: np.ndarray) -> bytes:
-            ks, hs, place = table(row[head[at]], k, h)
-            ends = np.cumsum(count[at])
-            index = np.arange(ends[-1]) + np.repeat(head[at] - (ends - count[at]), count[at])
-            if how.content:
-                size = count[at] + how.length - 1
-                ends = np.cumsum(size)
-                body = data[np.arange(ends[-1]) + np.repeat(text_at[head[at]] - (ends - size), size)]
-            else:
-                body = window[index]
-            return pack(count[at].astype("<u4"), place, start[head[at]].astype("<u4"), body, ks, hs)
+            ks, hs, where = table(of[head[at]], k, h)
+            return pack(count[at].astype("<u4"), where, each[head[at]].astype("<u4"), size[at].astype("<u4"), block.body[spread(low_byte[at], size[at])], ks, hs)
 
         yield dealt((A.mix(pivot[head]) % A.U(len(keys))).astype(np.int64), keys, make)
 
@@ -367,27 +446,14 @@ def resolved(how: Symbols, keys: np.ndarray, settle):
     """Pass 2, reduce side: windows that repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, settled = gather(batches, ["<u4", "<u4", "<u4", "u1" if how.content else "<u8", "<i8", "<i8"])
+        got, settled = gather(batches, ["<u4", "<u4", "<u4", "<u4", "u1", "<i8", "<i8"])
         yield from settled
         if got is None:
             return
-        count, row, start, body, k, h = got
-        count = count.astype(np.int64)
-        if how.content:
-            ends = np.cumsum(count + how.length - 1)
-            parts = []
-            for i, j in A.slices(np.r_[0, ends], 1 << 20):
-                begin = ends[i - 1] if i else 0
-                symbols = A.BYTE_CODE[body[begin : ends[j - 1]]]
-                parts.append(A.roll(symbols, how.length)[windows_inside(np.r_[begin, ends[i:j]] - begin, len(symbols), how.length)])
-            window = np.concatenate(parts)
-        else:
-            window = body
-        done = np.cumsum(count)
-        start = (np.arange(done[-1]) + np.repeat(start.astype(np.int64) - (done - count), count)).astype(np.uint32)
-        row = np.repeat(row.astype(np.int32), count)
-        again, *source = settle(window, k[row], start)
-        yield for_documents(*factors(again, row, start, *source), k, h, keys)
+        count, row, start, size, body, k, h = got
+        block = Block(how, body, size, count, start, k[row])
+        again, *source = settle(block)
+        yield for_documents(*factors(again, row[block.of], block.start, *source), k, h, keys)
 
     return run
 
@@ -395,24 +461,21 @@ def resolved(how: Symbols, keys: np.ndarray, settle):
 def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Applies finish to each document with the windows that settle marked.
 
-    settle(window, k, start) returns a mask of the windows that repeat an
-    earlier one, and if it can the document and place of that one. A null id counts as the
+    settle(block) returns a mask of the windows that repeat an earlier one, and
+    if it can the document and place of that one. A null id counts as the
     greatest. Rows that share an id and a text share their results.
     """
-    n = partitions(docs.sparkSession)
+    key, body = named(id_column).cast("long"), F.coalesce(named(text).cast("string"), F.lit(""))
+    base = docs.select(F.coalesce(key, F.lit(LAST)).alias("k"), F.xxhash64(body, key.isNull()).alias("h"), key.isNull().alias("none"), body.alias("text"))
+    n = tasks_for(base, TASK_BYTES)
     keys = murmur_keys(n)
-    base = docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("k"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
     kind = FACTOR if how.within else SPAN
     first = arrow_map(base, pivots(how, keys), RECORD).repartition(n, "bucket")
     found = arrow_map(arrow_map(first, shared_pivots(how, keys), RECORD).repartition(n, "bucket"), by_document("<u4"), FOUND)
     second = arrow_map(base.join(found, ["k", "h"]), candidates(how, keys, settle), RECORD).repartition(n, "bucket")
     marked = arrow_map(arrow_map(second, resolved(how, keys, settle), RECORD).repartition(n, "bucket"), by_document(kind), FOUND)
-    out = arrow_map(base.join(marked, ["k", "h"], "left"), finish, schema)
-    return out.withColumn("k", F.when(F.col("k") != LAST, F.col("k"))).withColumnRenamed("k", id_column)
+    out = arrow_map(base.join(marked, ["k", "h"], "left"), finish, f"k long, none boolean, {schema}")
+    return out.withColumn("k", F.when(~F.col("none"), F.col("k"))).drop("none").withColumnRenamed("k", id_column)
 
 
 def covered(offsets: np.ndarray, spans: np.ndarray, by_span: np.ndarray, i: int, j: int, length: int) -> np.ndarray:

@@ -1,12 +1,16 @@
 """Removal of word windows that occur earlier, by relative Lempel-Ziv parsing.
 
 The reference is the corpus before a word, cut into blocks: the stretches of
-windows that share a pivot (see `_repeats`), indexed by it. A document is parsed
-greedily against the blocks of its pivots. A factor runs on as long as its
-windows follow one another in the document and in their source; where a block
-ends, factors that go on in the same source are joined again when the document's
-factors come together. Factors of at least 20 words are duplicate spans, and
-what they cover is removed.
+text that share a pivot (see `_repeats`), indexed by it. A stretch of a document
+can only match inside the block of its own pivot, so it is parsed against that
+block and none other. Parsing is greedy: where a window of 20 words is found
+earlier in the block, a factor starts that refers to the earliest such place and
+runs on as far as document and reference agree. Where it ends, windows across
+the boundary are looked up until one is found, which starts the next factor.
+Factors of at least 20 words are duplicate spans, and what they cover is
+removed. Where a block ends, factors that go on in the same source are joined
+again when the document's factors come together. Words are compared by their
+bytes before anything is removed.
 
 Edge cases: a null or empty text has no words; texts under 20 words are kept;
 words come back joined by one space; equal ids are told apart by their text,
@@ -27,15 +31,36 @@ from lamina.llm import _arrow as A
 from lamina.llm import _repeats as R
 
 
-def earlier_windows(window: np.ndarray, k: np.ndarray, start: np.ndarray):
-    """Windows with an equal one earlier (by key, then place), and that first one's key and place."""
-    order = np.lexsort((start, k, window))
-    w = window[order]
-    head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-    first = order[head][R.groups(w)]
-    again, doc, at = np.zeros(len(w), bool), np.empty(len(w), np.int64), np.empty(len(w), np.int64)
-    again[order] = (k[order] != k[first]) | (start[order] != start[first])
-    doc[order], at[order] = k[first], start[first]
+def parsed(block: R.Block):
+    """Greedy factors of every stretch of a block: a mask of the windows that they cover, and key and place of what each of these refers to."""
+    group, key, start = block.groups(), block.key, block.start
+    order = np.lexsort((start, key, group))
+    head = order[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])] if len(order) else order
+    source = head[group] if len(order) else order  # the earliest window of equal words
+    old = (key != key[source]) | (start != start[source])
+    n = len(group)
+    last = block.ends[block.of] - 1  # the last window of each one's stretch
+    following = np.minimum.accumulate(np.where(old, np.arange(n), n)[::-1])[::-1]  # the next window that is found earlier
+    again, doc, at = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    here = following[block.ends - block.count] if n else following
+    here = here[(here < n)]
+    here = np.unique(here)
+    limit = np.r_[last, -1]
+    while len(here):
+        reach = np.minimum(limit[here] - here, limit[source[here]] - source[here]) + 1
+        step = R.spread(np.zeros(len(here), np.int64), reach)
+        each = np.repeat(np.arange(len(here)), reach)
+        agree = group[here[each] + step] == group[source[here][each] + step]
+        firsts = np.cumsum(reach) - reach
+        size = np.minimum.reduceat(np.where(agree, reach[each], step), firsts)
+        inside = R.spread(here, size)
+        from_ = np.repeat(source[here] - here, size) + inside
+        again[inside], doc[inside], at[inside] = True, key[from_], start[from_]
+        after = here + size
+        more = after <= limit[here]
+        bound = limit[here][more]
+        here = following[after[more]]
+        here = here[(here <= bound)]
     return again, doc, at
 
 
@@ -81,12 +106,13 @@ def finish(length: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     A.rows(batch, "k"),
+                    A.rows(batch, "none"),
                     pa.array(join(n_words).astype(np.int64)),
                     pa.array(join(n_removed).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(cuts), pieces),
                     pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(kept.tobytes())]),
                 ],
-                names=["k", "n_words", "n_removed", "factors", "kept"],
+                names=["k", "none", "n_words", "n_removed", "factors", "kept"],
             )
 
     return run
@@ -94,9 +120,9 @@ def finish(length: int):
 
 def dedup(docs: DataFrame, length: int = 20, gram: int = 8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, n_removed, the factors (word start, length, source) and the kept text of each document."""
-    how = R.Symbols(length, min(gram, length), words=True, within=True, content=False)
-    schema = "k long, n_words long, n_removed long, factors array<struct<start: long, length: long, source_id: long, source_start: long>>, kept string"
-    return R.repeats(docs, how, earlier_windows, finish(length), schema, id_column, text)
+    how = R.Symbols(length, min(gram, length), words=True, within=True)
+    schema = "n_words long, n_removed long, factors array<struct<start: long, length: long, source_id: long, source_start: long>>, kept string"
+    return R.repeats(docs, how, parsed, finish(length), schema, id_column, text)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
-"""Removal of byte strings that occur in an earlier document, by a logarithmic family of suffix indexes.
+"""Removal of byte strings that occur in an earlier document, by a logarithmic family of suffix arrays.
 
-Suffixes are the starts of all 50-byte windows that can repeat (see
-`_repeats`), dealt out by pivot. In each task they come in batches, in
-document order. A batch becomes a sorted array; it is merge-scanned against the
-levels that exist, which hold earlier documents only, and then becomes a level
-itself; levels of equal size merge, so a suffix is merged a logarithmic number
-of times. Arrays are ordered by a 64-bit fingerprint of a suffix's first 50
-bytes, not by the bytes themselves: only matches of that length are asked for,
-and equality is all that they need.
+The suffixes are those of the stretches that can repeat (see `_repeats`), dealt
+out by pivot. In each task they come in batches, in document order. A batch gets
+its suffix array: its suffixes in the order of their bytes, to the depth of the
+match length (50), as longer matches need not be told apart. The array is
+merge-scanned against the levels that exist, which hold earlier documents only;
+a suffix that meets one with 50 equal bytes is a match. What is new becomes a
+level, and levels of equal size merge geometrically, so a suffix is merged a
+logarithmic number of times.
 
 Edge cases: a null or empty text has no bytes; texts under 50 bytes are kept
 whole; rows of the same id never remove each other's bytes; a null id counts as
@@ -26,26 +26,35 @@ from pyspark.sql import functions as F
 from lamina.llm import _arrow as A
 from lamina.llm import _repeats as R
 
-BATCH = 1 << 20
+BATCH = 1 << 18
+
+
+def suffix_keys(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The first bytes of the suffixes at these places, as strings that compare by byte: each byte is raised by one, since UTF-8 has no 255 and numpy's strings end at a 0."""
+    raised = body + np.uint8(1)
+    rows = np.ndarray((max(0, len(raised) - length + 1), length), np.uint8, raised.data, strides=(1, 1))
+    return rows[at].view(f"S{length}").ravel()
 
 
 class Levels:
-    """Sorted arrays of suffix fingerprints, each at least twice as long as the next."""
+    """A logarithmic family: sorted arrays of distinct suffixes, each at least twice as long as the next."""
 
     def __init__(self) -> None:
         self.levels: list[np.ndarray] = []
 
-    def seen(self, sorted_keys: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(sorted_keys), bool)
+    def seen(self, suffixes: np.ndarray) -> np.ndarray:
+        """Which of the suffixes, in order, a level holds: one merge scan of both sorted arrays a level."""
+        found = np.zeros(len(suffixes), bool)
         for level in self.levels:
-            at = np.searchsorted(level, sorted_keys)
+            at = np.searchsorted(level, suffixes)
             at[at == len(level)] = 0
-            found |= level[at] == sorted_keys
+            found |= level[at] == suffixes
         return found
 
-    def add(self, sorted_keys: np.ndarray) -> None:
-        if len(sorted_keys):
-            self.levels.append(sorted_keys)
+    def add(self, suffixes: np.ndarray) -> None:
+        """Adds sorted suffixes that no level holds; a stable sort of two sorted arrays merges them."""
+        if len(suffixes):
+            self.levels.append(suffixes)
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
             last = self.levels.pop()
             both = np.concatenate([self.levels.pop(), last])
@@ -53,22 +62,26 @@ class Levels:
             self.levels.append(both)
 
 
-def earlier_documents(window: np.ndarray, k: np.ndarray, start: np.ndarray):
+def earlier_documents(block: R.Block):
     """Windows that a document with a smaller key holds too."""
-    order = np.argsort(k, kind="stable")
-    sorted_k, again, index = k[order], np.zeros(len(k), bool), Levels()
+    length, body, at, key = block.how.length, block.body, block.at, block.key
+    order = np.argsort(key, kind="stable")
+    by_key, again, index = key[order], np.zeros(len(key), bool), Levels()
     i = 0
     while i < len(order):
         j = min(len(order), i + BATCH)
-        j = int(np.searchsorted(sorted_k, sorted_k[j - 1], "right"))  # a document is never split
+        j = int(np.searchsorted(by_key, by_key[j - 1], "right"))  # a document is never split
         mine = order[i:j]
-        by = mine[np.argsort(window[mine], kind="stable")]  # equal windows stay in document order
-        w = window[by]
-        head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        group = R.groups(w)
-        old = index.seen(w[head])
-        again[by] = old[group] | (k[by] > k[by[head]][group])
-        index.add(w[head][~old])
+        suffixes = suffix_keys(body, at[mine], length)
+        array = np.argsort(suffixes, kind="stable")  # equal ones stay in document order
+        suffixes, mine = suffixes[array], mine[array]
+        head = np.flatnonzero(np.r_[True, suffixes[1:] != suffixes[:-1]])
+        group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(mine)]))
+        first = suffixes[head]
+        old = index.seen(first)
+        again[mine] = old[group] | (key[mine] > key[mine[head]][group])
+        if j < len(order):
+            index.add(first[~old])
         i = j
     return (again,)
 
@@ -102,12 +115,13 @@ def finish(length: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     A.rows(batch, "k"),
+                    A.rows(batch, "none"),
                     pa.array(np.diff(offsets)),
                     pa.array(counts),
                     pa.ListArray.from_arrays(pa.array(cuts), pieces),
                     pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(data[~gone].tobytes())]),
                 ],
-                names=["k", "n_bytes", "n_removed", "spans", "kept"],
+                names=["k", "none", "n_bytes", "n_removed", "spans", "kept"],
             )
 
     return run
@@ -115,8 +129,8 @@ def finish(length: int):
 
 def dedup(docs: DataFrame, length: int = 50, gram: int = 16, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, the removed spans (byte start and length) and the kept bytes of each document."""
-    how = R.Symbols(length, min(gram, length), words=False, within=False, content=True)
-    schema = "k long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
+    how = R.Symbols(length, min(gram, length), words=False, within=False)
+    schema = "n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
     return R.repeats(docs, how, earlier_documents, finish(length), schema, id_column, text)
 
 

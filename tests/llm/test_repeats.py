@@ -106,3 +106,60 @@ def test_partition_keys(spark):
     keys = R.murmur_keys(13)
     got = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(13))).collect()
     assert [r[0] for r in got] == list(range(13))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_hash_alike_by_construction(spark):
+    """A polynomial hash modulo 2**64 cannot tell these words apart, whatever its multiplier."""
+    a = thue_morse(1024)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{a.translate(str.maketrans('ab', 'ba'))} {tail}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring.dedup(frame).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("operator", [substring, suffix])
+def test_hashes_only_choose_candidates(spark, monkeypatch, operator):
+    """Even if all hashes of words or windows agree, only equal text is removed."""
+    import random
+
+    r = random.Random(4)
+    words = [f"v{i}" for i in range(6)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(8)]
+    texts += [texts[0], texts[1][30:] + texts[2]]
+    how = R.Symbols(20, 8, True, True) if operator is substring else R.Symbols(50, 16, False, False)
+    parts = [t.encode() for t in texts]
+    body = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(p) for p in parts])
+    count = np.array([max(0, (len(p.split()) if how.words else len(p)) - how.length + 1) for p in parts])
+    monkeypatch.setattr(A, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(A, "roll", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
+    monkeypatch.setattr(suffix, "BATCH", 100)
+    block = R.Block(how, body, size, count, np.zeros(len(parts), np.int64), np.arange(len(parts)))
+    again = (substring.parsed if how.words else suffix.earlier_documents)(block)[0]
+    rows = list(enumerate(texts))
+    want = {i: x[1] for i, x in (words_left if how.words else bytes_left)(rows).items()}
+    for i in range(len(texts)):
+        n = len(parts[i].split()) if how.words else len(parts[i])
+        gone = np.zeros(n, bool)
+        for s in block.start[again & (block.of == i)]:
+            gone[s : s + how.length] = True
+        assert gone.sum() == want[i]
+
+
+def test_very_long_texts(spark):
+    """Texts beyond every slice, with and without blanks, that share passages."""
+    import random
+
+    r = random.Random(9)
+    long = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(400_000))
+    glued = "".join(chr(r.randint(97, 122)) for _ in range(600_000))
+    rows = [(1, long), (2, glued), (3, "x " + long[1_000_000:1_200_000] + " y"), (4, "|" + glued[300_000:400_000] + "|"), (5, glued + " " + glued)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {x.doc_id: (x.n_words, x.n_removed) for x in substring.dedup(frame).collect()}
+    assert words[1] == (400_000, 0) and words[2] == (1, 0) and words[5] == (2, 0) and words[3][0] - words[3][1] in (2, 3, 4)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans)) for x in suffix.dedup(frame).collect()}
+    assert got[1][1] == got[2][1] == 0 and got[3][1:] == (200_000, 1) and got[4][1:] == (100_000, 1) and got[5][1] == 1_200_000
