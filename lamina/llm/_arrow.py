@@ -76,7 +76,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tu
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-LONG = 64
+LONG = 256
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -149,6 +149,29 @@ class Block:
         return out
 
 
+def looked_into(how: Symbols, settle, body: np.ndarray, size: np.ndarray, count: np.ndarray, start: np.ndarray, key: np.ndarray):
+    """Settles stretches with their text.
+
+    Of stretches with equal bytes the earliest one is looked into, the others
+    repeat it as a whole. Returns the block of those that are looked into, which
+    stretches they are, the mask of their windows and the windows' sources, and
+    of the others the number of the one that each repeats (-1: none).
+    """
+    cuts = np.r_[0, np.cumsum(size)].astype(np.int64)
+    h, whole = A.span_hashes(body, cuts[:-1], cuts[1:]), np.arange(len(size))
+    order = np.lexsort((start, key, h))
+    if len(order):
+        group = groups(h[order])
+        first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])][group]
+        same = (size[order] == size[first]) & equal_spans(body, cuts[order], cuts[first], size[first].astype(np.int64))
+        whole[order] = np.where(same, first, order)
+    if not how.within:  # a document does not repeat itself
+        whole = np.where(key == key[whole], np.arange(len(size)), whole)
+    mine = np.flatnonzero(whole == np.arange(len(size)))
+    block = Block(how, body[spread(cuts[mine], size[mine])], size[mine], count[mine], start[mine], key[mine])
+    return block, mine, *settle(block), np.where(whole == np.arange(len(size)), -1, whole)
+
+
 def stretches(symbols: np.ndarray, offsets: np.ndarray, how: Symbols):
     """First window, number of windows, pivot and row of each stretch."""
     empty = np.zeros(0, np.int64)
@@ -250,6 +273,17 @@ def factors(again: np.ndarray, row: np.ndarray, start: np.ndarray, doc: np.ndarr
     return row[head], out
 
 
+def all_factors(how: Symbols, block: Block, mine: np.ndarray, again: np.ndarray, source: list, whole: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray):
+    """factors() of what looked_into() returns: runs inside the stretches that were looked into, and the stretches that repeat another."""
+    of, out = factors(again, row[mine[block.of]], block.start, *source)
+    others = np.flatnonzero(whole >= 0)
+    more = np.zeros(len(others), out.dtype)
+    more["start"], more["count"] = start[others], count[others]
+    if how.within:
+        more["doc"], more["from"] = key[whole[others]], start[whole[others]]
+    return np.concatenate([of, row[others]]), np.concatenate([out, more])
+
+
 FOUND = "k long, h long, found binary"
 RECORD = "bucket int, settled boolean, payload binary"
 
@@ -420,14 +454,13 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
         count, pivot, row, start, at, size = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(count):
             return
-        block = Block(how, data[spread(at, size)], size, count, start, k[row])
-        again, *source = settle(block)
-        of, each = row[block.of], block.start
-        yield for_documents(*factors(again, of, each, *source), k, h, keys)
+        block, mine, again, *source, whole = looked_into(how, settle, data[spread(at, size)], size, count, start, k[row])
+        yield for_documents(*all_factors(how, block, mine, again, source, whole, row, start, count, k[row]), k, h, keys)
         left = np.flatnonzero(~again)
         if not len(left):
             return
-        pivot, of, each, place = pivot[block.of[left]], of[left], each[left], block.at[left]
+        of = mine[block.of[left]]
+        pivot, of, each, place = pivot[of], row[of], block.start[left], block.at[left]
         head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (each[1:] != each[:-1] + 1) | (pivot[1:] != pivot[:-1])])
         count = np.diff(np.r_[head, len(of)])
         low_byte = block.begin[place[head]]
@@ -451,9 +484,9 @@ def resolved(how: Symbols, keys: np.ndarray, settle):
         if got is None:
             return
         count, row, start, size, body, k, h = got
-        block = Block(how, body, size, count, start, k[row])
-        again, *source = settle(block)
-        yield for_documents(*factors(again, row[block.of], block.start, *source), k, h, keys)
+        key = k[row]
+        block, mine, again, *source, whole = looked_into(how, settle, body, size, count, start, key)
+        yield for_documents(*all_factors(how, block, mine, again, source, whole, row, start, count, key), k, h, keys)
 
     return run
 

@@ -38,7 +38,7 @@ WORDS = 5
 BINS = 128
 RECALL = 0.9999
 CHILDREN = 2  # tokens that a node chooses below a path whose bucket descends
-SMALL = 256
+SMALL = 1024
 DEPTH = 4
 NEAR = 0.4  # estimates at or above join a family
 DEEP = 0.8  # a node this near its hub has no link to one that is not near it: Jaccard distance is a metric, and 0.1 is left for errors of estimates
@@ -261,23 +261,18 @@ def apart(frame: DataFrame, key: str, *aggregates) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of the edges (u, v), by large-star and small-star steps."""
     edges = cut(edges.where("u != v").distinct())
-
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = apart(both, "u", F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = apart(down, "u", F.min("v").alias("m"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
-        now = mark(edges)
-        if now == seen:
+        # all edges are stars once a node has one edge up, or is one that edges lead to, not both
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -287,7 +282,7 @@ def likely(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(F.explode("paths").alias("path"), "x", "sketch")
     edges = None
     for level in range(2, DEPTH + 2):
-        hubs = apart(rows, "path", F.count(F.lit(1)).alias("size"), F.min(F.struct("x", "sketch")).alias("hub")).where("size > 1")
+        hubs = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("x", "sketch")).alias("hub")).where("size > 1")
         hubs = hubs.select("path", "size", F.col("hub.x").alias("hub"), F.col("hub.sketch").alias("hub_sketch"))
         kind = "path long, size long, x binary, sketch binary, hub binary, near double"
         seen = cut(arrow_map(rows.join(hubs, "path").where("x != hub"), against_hub, kind))
