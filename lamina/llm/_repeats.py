@@ -157,13 +157,14 @@ def looked_into(how: Symbols, settle, body: np.ndarray, size: np.ndarray, count:
     stretches they are, the mask of their windows and the windows' sources, and
     of the others the number of the one that each repeats (-1: none).
     """
-    cuts = np.r_[0, np.cumsum(size)].astype(np.int64)
+    size, count, start = (x.astype(np.int64) for x in (size, count, start))
+    cuts = np.r_[0, np.cumsum(size)]
     h, whole = A.span_hashes(body, cuts[:-1], cuts[1:]), np.arange(len(size))
     order = np.lexsort((start, key, h))
     if len(order):
         group = groups(h[order])
         first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])][group]
-        same = (size[order] == size[first]) & equal_spans(body, cuts[order], cuts[first], size[first].astype(np.int64))
+        same = (size[order] == size[first]) & equal_spans(body, cuts[order], cuts[first], size[first])
         whole[order] = np.where(same, first, order)
     if not how.within:  # a document does not repeat itself
         whole = np.where(key == key[whole], np.arange(len(size)), whole)
