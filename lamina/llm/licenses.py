@@ -8,8 +8,10 @@ ends, so a match inside a longer one of another template counts too; matches of
 at least `shortest` tokens (or a whole shorter template) are chained, in the
 order of both file and template, into spans of a template, and a template is
 reported when its spans cover enough of it. Only stretches whose neighbouring
-tokens are neighbours in some template are streamed; others cannot hold a match
-of two tokens.
+tokens are neighbours in some template are streamed, and single tokens that are
+a template; others cannot hold a match. Templates are those of this module, a
+mapping, or text files by their names (`templates_from`); their automaton is
+built once and broadcast, its size being that of the templates.
 
 Edge cases: a null or empty text has no words, no label and score 0; texts of
 any length are read slice by slice, a document never being split; other columns
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import _arrow as A
-from lamina.llm._session import arrow_map
+from lamina.llm._session import arrow_map, named
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -168,10 +170,9 @@ class Scanner:
         self.phrases = [([number[w] for w in row], label) for row, label in zip(spoken, phrases.values(), strict=True)]
         self.automaton = Automaton(self.rows)
         self.least = min([shortest, *[len(row) for row in self.rows if row]])
-        n = len(known) + 1
-        self.near = np.zeros((n, n), bool)  # a bounded table: the templates' words squared
-        for row in self.rows:
-            self.near[row[:-1], row[1:]] = True
+        self.near = np.unique([a * len(known) + b for row in self.rows for a, b in zip(row, row[1:], strict=False)] or [-1])
+        self.single = np.zeros(len(known) + 1, bool)  # words that are a template by themselves
+        self.single[[row[0] for row in self.rows if len(row) == 1]] = True
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = A.span_hashes(data, starts, ends)
@@ -182,13 +183,22 @@ class Scanner:
     def spans(self, ids: np.ndarray, row: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
         """Matches (file start, template start, length, template) by row of the slice."""
         found: dict[int, list[tuple[int, int, int, int]]] = {}
-        if len(ids) < 2:
+        if not len(ids):
             return found
-        pair = self.near[ids[:-1], ids[1:]] & (row[1:] == row[:-1])
-        first = np.flatnonzero(pair & ~np.r_[False, pair[:-1]])
-        last = np.flatnonzero(pair & ~np.r_[pair[1:], False]) + 1
+        n = len(self.hashes)
+        known = ids < n
+        pair = np.zeros(len(ids), bool)  # with the next word
+        pair[:-1] = known[:-1] & known[1:] & (row[1:] == row[:-1])
+        at = np.flatnonzero(pair)
+        code = ids[at].astype(np.int64) * n + ids[at + 1]
+        place = np.searchsorted(self.near, code)
+        pair[at] = self.near[np.minimum(place, len(self.near) - 1)] == code
+        joined = pair.copy()
+        joined[1:] |= pair[:-1]
+        first = np.flatnonzero((pair & ~np.r_[False, pair[:-1]]) | (~joined & self.single[ids]))
+        last = np.flatnonzero((~pair & np.r_[False, pair[:-1]]) | (~joined & self.single[ids]))
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            if b - a + 1 < min(self.shortest, 3):
+            if b - a + 1 < self.least:
                 continue
             for end, size, t, stop in self.automaton.places(ids[a : b + 1].tolist(), self.least):
                 if size >= min(self.shortest, len(self.rows[t])):
@@ -200,10 +210,12 @@ class Scanner:
         best: dict[int, tuple[float, int, int]] = {}
         for t in {m[3] for m in matches}:
             held: list[list[int]] = []  # covered, file start, file end, template end
+            near: list[list[int]] = []  # those that a later match may still go on from
             for at, place, size, _ in sorted(m for m in matches if m[3] == t):
-                options = [c for c in held[-32:] if c[2] <= at <= c[2] + self.gap and c[3] <= place]
-                base = max(options, default=None)
+                near = [c for c in near if c[2] + self.gap >= at]
+                base = max((c for c in near if c[2] <= at and c[3] <= place), default=None)
                 held.append([(base[0] if base else 0) + size, base[1] if base else at, at + size, place + size])
+                near.append(held[-1])
             covered, start, end, _ = max(held)
             best[t] = (covered / len(self.rows[t]), start, end - 1)
         return best
@@ -243,6 +255,12 @@ class Scanner:
         return np.diff(by), places, low, high, base, labels, score, spans
 
 
+def templates_from(spark: SparkSession, path: str) -> dict[str, str]:
+    """Licence texts of a folder, by file name without its ending: a bounded set, held by the driver."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "value").orderBy("name").collect()
+    return {r.name: r.value for r in rows}
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<template: string, first: long, last: long, covered: double>>"
 
 
@@ -258,9 +276,10 @@ def scan(
 ) -> DataFrame:
     """Labels of every text, with the template spans they come from. No shuffle; the automaton's size is that of the templates."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, shortest, cover, gap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases, shortest, cover, gap)
+        scanner = shared.value
         struct = pa.list_(pa.struct([("template", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("covered", pa.float64())]))
         for batch in batches:
             data, offsets = A.buffer(A.rows(batch, "text"))
@@ -274,6 +293,6 @@ def scan(
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
                 )
 
-    frame = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    frame = docs.select(named(id_column).cast("long").alias("doc_id"), named(text).cast("string").alias("text"))
     out = arrow_map(frame, run, SCHEMA)
     return out.withColumnRenamed("doc_id", id_column)

@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash.
 
-The k-mers of a text are runs of `k` words, numbered by occurrence, so that the
-second of two equal ones is another k-mer. Each is hashed once; the hash's
+The k-mers of a text are runs of `k` words, or of `letters` characters where its
+words are over LONG characters on average (texts without blanks), numbered by
+occurrence, so that the second of two equal ones is another k-mer. Each is hashed once; the hash's
 value puts it into one of `bins` bins, and each bin selects its `width` least
 k-mers, keeps them in text order and hashes the row: one component of the
 signature. A component agrees when the same k-mers were selected in the same
@@ -24,6 +25,8 @@ from lamina.llm._session import partitions
 K = 2
 BINS = 32
 WIDTH = 2
+LETTERS = 8
+LONG = 40
 PLACE_BITS = 28
 CODE_BITS = 30
 LAST = (1 << 63) - 1
@@ -48,14 +51,14 @@ def occurrence(packed: Column, x: Column, j: Column) -> Column:
     return F.when(F.coalesce(alike(j - 1), F.lit(False)), search).otherwise(F.lit(0))
 
 
-def signature(text: Column, k: int = K, bins: int = BINS, width: int = WIDTH) -> Column:
+def signature(text: Column, k: int = K, bins: int = BINS, width: int = WIDTH, letters: int = LETTERS) -> Column:
     """Array of `bins` components, null where a bin is empty."""
     core = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(F.length(core) > 0, F.split(core, BLANKS)).otherwise(F.array().cast("array<string>"))
     place = (1 << PLACE_BITS) - 1
     code = (1 << CODE_BITS) - 1
 
-    def grams(w: Column) -> Column:
+    def grams(w: Column, k: int = k) -> Column:
         one = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
         packed = lambda i: F.shiftleft(F.shiftrightunsigned(one(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long").bitwiseAND(F.lit(place)))
         last = F.greatest(F.size(w) - k, F.lit(0))
@@ -83,7 +86,9 @@ def signature(text: Column, k: int = K, bins: int = BINS, width: int = WIDTH) ->
         one = lambda b: bound(codes(b), lambda c: F.when(F.size(c) > 0, F.xxhash64(c).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
         return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), one)
 
-    return bound(bound(bound(bound(words, grams), numbered), least), components)
+    sparse = lambda w: F.length(core) > F.size(w) * LONG
+    chosen = bound(words, lambda w: F.when(sparse(w), bound(F.split(core, ""), lambda x: grams(x, letters))).otherwise(grams(w)))
+    return bound(bound(bound(chosen, numbered), least), components)
 
 
 def written(sig: Column) -> Column:
