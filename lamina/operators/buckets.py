@@ -13,7 +13,10 @@ CATEGORY_COLUMNS = {"architecture": "architecture_score", "tissue_compartment":
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two tables; `unmatched` below tells whether it was one to one."""
+    """Inner join of two tables that must have the same keys, each once; anything else is an error."""
+    broken = unmatched(left, right, keys).first().asDict()
+    if any(broken.values()):
+        raise ValueError(f"the tables do not match one to one: {broken}")
     return left.join(right, keys)
 
 
@@ -115,8 +118,9 @@ def selection(clusters: DataFrame, per_bucket: int = 50, seed: int = 7) -> DataF
 def dominance(clusters: DataFrame, tiles: DataFrame, fields: list[str]) -> DataFrame:
     """For each bucket and field the most common value among the bucket's tiles (lowest value of equals) and its share."""
     members = clusters.select("magnification", "fine_cluster_id", F.explode("bucket_memberships").alias("bucket"))
-    counted = tiles.select("magnification", "fine_cluster_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("magnification", "fine_cluster_id", "x.*")
-    counted = counted.groupBy("magnification", "fine_cluster_id", "field", "value").agg(F.count(F.lit(1)).alias("n"))  # before buckets multiply them
+    cells = tiles.groupBy("magnification", "fine_cluster_id", *fields).agg(F.count(F.lit(1)).alias("n"))  # before fields and buckets multiply them
+    counted = cells.select("magnification", "fine_cluster_id", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("magnification", "fine_cluster_id", "n", "x.*")
+    counted = counted.groupBy("magnification", "fine_cluster_id", "field", "value").agg(F.sum("n").alias("n"))
     by = counted.join(F.broadcast(members), ["magnification", "fine_cluster_id"]).groupBy("magnification", "bucket", "field", "value").agg(F.sum("n").alias("n"))
     best = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
     return by.groupBy("magnification", "bucket", "field").agg(F.sum("n").alias("n_tiles"), best.alias("dominant"), (F.max("n") / F.sum("n")).alias("dominant_fraction"))

@@ -3,7 +3,7 @@
 Input columns: magnification, <level>_cluster_id, slide_id, patient_id,
 primary_site, tcga_project. Every statistic starts from one pre-aggregation to
 (cluster, site, patient, project, slide) or less, so tiles are shuffled once, as
-partial counts.
+partial counts. `statistics` writes it once, to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.session import cut
+
 
 def counted(tiles: DataFrame) -> Column:
     """Aggregate: number of tiles, of single ones or of groups that carry n."""
@@ -81,7 +83,7 @@ def children(tiles: DataFrame) -> DataFrame:
 def statistics(tiles: DataFrame, level: str = "fine_cluster_id", min_tiles: int = 20, min_patients: int = 3) -> DataFrame:
     """All statistics of a level, one row for each cluster."""
     keys = ["magnification", level]
-    tiles = slide_level(tiles, level)
+    tiles = cut(slide_level(tiles, level))  # every branch below reads this table, tiles are read once
     sites, projects = long_counts(tiles, level, "primary_site"), long_counts(tiles, level, "tcga_project")
     mag = Window.partitionBy("magnification")
     out = entropy(sites, level, "primary_site").withColumnRenamed("entropy", "tissue_entropy")

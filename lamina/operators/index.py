@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import rng
 from lamina.functions.documents import BUCKET_BITS
+from lamina.session import cut
 
 CELL = ["magnification", "coarse_cluster_id", "fine_cluster_id"]
 
@@ -74,9 +75,11 @@ def draws(spark, tiles: DataFrame, records: DataFrame, n: int, magnifications: d
     rows = rows.join(F.broadcast(counts), ["magnification", "bucket"]).withColumn("coarse_at", rng.random_index(seed, draw, 2, F.col("n_coarse")))
     rows = rows.join(F.broadcast(coarse.drop("n_coarse")), ["magnification", "bucket", "coarse_at"]).withColumn("fine_at", rng.random_index(seed, draw, 3, F.col("n_fine")))
     rows = rows.join(F.broadcast(cells), ["magnification", "bucket", "coarse_cluster_id", "fine_at"]).withColumn("slide_at", rng.random_index(seed, draw, 4, F.col("n_slides")))
-    slides = groups(tiles).withColumn("slide_at", F.row_number().over(Window.partitionBy(*CELL).orderBy("slide_id")) - 1)
+    slides = cut(groups(tiles)).withColumn("slide_at", F.row_number().over(Window.partitionBy(*CELL).orderBy("slide_id")) - 1)
     rows = rows.join(slides, [*CELL, "slide_at"]).withColumn("tile_at", rng.random_index(seed, draw, 5, F.col("n_entries")))
-    entries = tiles.withColumn("tile_at", F.row_number().over(Window.partitionBy(*CELL, "slide_id").orderBy("packed_row_index")) - 1)
+    rows = cut(rows)
+    drawn = rows.select(*CELL, "slide_id").distinct()  # at most n groups; only their tiles are numbered
+    entries = tiles.select(*CELL, "slide_id", "packed_row_index").join(drawn, [*CELL, "slide_id"], "left_semi").withColumn("tile_at", F.row_number().over(Window.partitionBy(*CELL, "slide_id").orderBy("packed_row_index")) - 1)
     return rows.join(entries.select(*CELL, "slide_id", "tile_at", "packed_row_index"), [*CELL, "slide_id", "tile_at"]).select("draw", "magnification", "bucket", "coarse_cluster_id", "fine_cluster_id", "slide_id", "packed_row_index")
 
 
@@ -98,15 +101,18 @@ def split(rows: DataFrame, key: str, share: float = 0.9, seed: int = 0) -> DataF
 
 
 #: Options that each kind of sampler takes.
-SAMPLERS = {"sequential": {"rank", "world"}, "epoch": {"seed", "epoch", "size", "rank", "world"}, "infinite": {"seed", "start", "n"}, "hierarchical": {"n", "magnifications", "buckets", "seed", "start"}}
+SAMPLERS = {"sequential": {"rank", "world"}, "epoch": {"seed", "epoch", "size", "rank", "world"}, "infinite": {"seed", "start", "n"}, "hierarchical": {"records", "n", "magnifications", "buckets", "seed", "start"}}
 
 
 def sampler(kind: str, rows: DataFrame, ordinal: str, **options) -> DataFrame:
     """Rows in the order of a sampler; options that the kind does not take are refused.
 
-    sequential: every world-th row. epoch: a keyed shuffle of seed times epoch,
-    the first `size` rows, strided. infinite: draws with replacement from
-    `start` on, each a function of its number.
+    sequential: every world-th row. epoch: the rows laid end to end until there
+    are `size` of them, in an order that is keyed by seed * epoch (by the epoch
+    itself if the seed is 0), of which a rank takes every world-th one; `place`
+    is the position in that order. infinite: draws with replacement from
+    `start` on, each a function of its number. hierarchical: draws() over the
+    tiles in `rows` and the compiled `records`.
     """
     if kind not in SAMPLERS or not set(options) <= SAMPLERS[kind]:
         raise ValueError(f"{kind} sampler does not take {sorted(set(options) - SAMPLERS.get(kind, set()))}")
@@ -114,17 +120,29 @@ def sampler(kind: str, rows: DataFrame, ordinal: str, **options) -> DataFrame:
     if kind == "sequential":
         return strided(rows, ordinal, rank, world).orderBy(ordinal)
     if kind == "epoch":
-        key = F.xxhash64(F.col(ordinal), F.lit(options.get("seed", 0) * options.get("epoch", 0)))
-        first = rows.withColumn("_k", key).orderBy("_k", ordinal)
-        if "size" in options:
-            first = first.limit(options["size"])
-        return first.where(F.pmod(F.col("_k"), F.lit(world)) == rank).drop("_k")
+        from lamina.functions.text import numbered
+
+        seed, epoch = options.get("seed", 0), options.get("epoch", 0)
+        n = rows.count()
+        size = options.get("size", n)
+        if not n or not size:
+            return rows.limit(0).withColumn("place", F.lit(0).cast("long"))
+        keyed = lambda turn: F.xxhash64(F.col(ordinal), turn, F.lit(seed * epoch if seed else epoch))
+        tiled = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(-(-size // n) - 1))))
+        order = F.concat_ws(":", F.lpad(F.hex(keyed(F.col("_turn"))), 16, "0"), F.lpad(F.col("_turn").cast("string"), 10, "0"), F.col(ordinal).cast("string"))
+        if size % n:  # the last turn takes only the first rows, by their ordinal
+            tiled = numbered(rows.select(ordinal), ordinal, "_at").join(tiled, ordinal).where(F.col("_turn") * n + F.col("_at") < size).drop("_at")
+        placed = numbered(tiled.withColumn("_k", order), "_k", "place")
+        return placed.where(F.pmod(F.col("place"), F.lit(world)) == rank).drop("_k", "_turn").orderBy("place")
+    if kind == "hierarchical":
+        spark = rows.sparkSession
+        return draws(spark, rows, options["records"], options["n"], options["magnifications"], options["buckets"], options.get("seed", 7), options.get("start", 0))
     if kind == "infinite":
         total = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
         drawn = rows.sparkSession.range(options.get("start", 0), options.get("start", 0) + options["n"]).withColumnRenamed("id", "draw")
         drawn = drawn.crossJoin(F.broadcast(total)).withColumn(ordinal, rng.random_index(options.get("seed", 0), F.col("draw"), 0, F.col("_n"))).drop("_n")
         return drawn.join(rows, ordinal)
-    raise ValueError("hierarchical draws need the compiled index: see draws()")
+    raise ValueError(kind)
 
 
 def entries_of(rows: DataFrame) -> DataFrame:

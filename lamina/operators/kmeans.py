@@ -1,8 +1,10 @@
 """Hierarchical k-means: a fit on a bounded sample, assignment of every row.
 
 The fit sample is bounded by configuration (200,000 rows), so the seeding runs
-on the driver; each Lloyd step and the assignment run over partitions with the
-centroid matrix, whose size is k times the dimension, broadcast.
+on the driver, in chunks whose distance matrix keeps a budget. A Lloyd step of a
+sample within the budget runs there too; a larger one, and every assignment,
+runs over partitions with the centroid matrix, whose size is k times the
+dimension, broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.neighbours import vectors_of
+from lamina.session import cut
+
+
+#: Entries of a distance matrix that is made at a time.
+BUDGET = 100_000_000
 
 
 def floyd(n: int, total: int, seed: int) -> np.ndarray:
@@ -70,8 +77,9 @@ def updated(rows: DataFrame, centers: np.ndarray, vector: str = "embedding") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count, cost = np.zeros((k, dim)), np.zeros(k), 0.0
         for batch in batches:
-            x = vectors_of(batch.column(0))
-            if len(x):
+            whole = vectors_of(batch.column(0))
+            for at in range(0, len(whole), max(1, BUDGET // k // 16)):
+                x = whole[at : at + max(1, BUDGET // k // 16)]
                 d = distances(x, shared.value)
                 c = d.argmin(1)
                 np.add.at(total, c, x)
@@ -87,7 +95,7 @@ def updated(rows: DataFrame, centers: np.ndarray, vector: str = "embedding") ->
     return new, float(by.loc[by["dim"] == 0, "cost"].sum())
 
 
-def fit(rows: DataFrame, k: int, iterations: int = 50, seed: int = 7, fit_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, list[float]]:
+def fit(rows: DataFrame, k: int, iterations: int = 50, seed: int = 7, fit_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding", budget: int = BUDGET) -> tuple[np.ndarray, list[float]]:
     """Centers and the potential before each step. The sample is the first fit_rows rows in keyed hash order."""
     order = F.xxhash64(F.col(key), F.lit(seed))
     sample = rows.select(key, vector).orderBy(order, key).limit(fit_rows)
@@ -95,7 +103,14 @@ def fit(rows: DataFrame, k: int, iterations: int = 50, seed: int = 7, fit_rows:
     if not len(x):
         return np.zeros((0, 0)), []
     centers, costs = seeded(x, min(k, len(x)), seed), []
+    stored = None
     for _ in range(iterations):
+        if len(x) * len(centers) > budget:
+            if stored is None:
+                stored = cut(sample.select(vector))
+            centers, cost = updated(stored, centers, vector)
+            costs.append(cost)
+            continue
         d = distances(x, centers)
         c = d.argmin(1)
         costs.append(float(d[np.arange(len(c)), c].sum()))

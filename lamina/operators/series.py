@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,14 +68,3 @@ def changes(rows: DataFrame, group: str, order: list[str], keys: list[str]) -> D
 def every(rows: DataFrame, ordinal: str, n: int, last: int) -> DataFrame:
     """Each n-th row and the last one."""
     return rows.where((F.col(ordinal) % n == 0) | (F.col(ordinal) == last))
-
-
-def chunks(batches: Iterator, size: int) -> Iterator:
-    held: list = []
-    for x in batches:
-        held.append(x)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

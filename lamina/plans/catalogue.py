@@ -101,29 +101,34 @@ def j09_allowlist_anti(spark, d):
 
 @query(
     "j10_coordinate_compare",
-    f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(P.KEYS[1:])}) AS r FROM lineitem),
-a AS (SELECT l_orderkey % 100 AS slide_id, l_orderkey * 8 + r AS x, l_partkey AS y, l_orderkey * 8 + r AS ra FROM l WHERE r < 8 AND l_quantity < 45), b AS (SELECT l_orderkey % 100 AS slide_id, l_orderkey * 8 + r AS x, l_partkey AS y, l_orderkey * 8 + r AS rb FROM l WHERE r < 8 AND l_quantity >= 5)
-SELECT slide_id, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS common, count(*) FILTER (rb IS NULL) AS source_only, count(*) FILTER (ra IS NULL) AS other_only, CAST(0 AS BIGINT) AS out_of_order,
-  CASE WHEN count(*) FILTER (ra IS NULL) > 0 THEN 'different' WHEN count(*) FILTER (rb IS NULL) = 0 THEN 'exact' ELSE 'ordered_subset' END AS correspondence FROM a FULL JOIN b USING (slide_id, x, y) GROUP BY slide_id""",
+    f"""WITH l AS (SELECT *, l_orderkey * 1048576 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(P.KEYS[1:])}) AS r FROM lineitem),
+a AS (SELECT l_orderkey % 100 AS slide_id, r AS x, l_partkey AS y, r AS ra FROM l WHERE l_quantity < 45), b AS (SELECT l_orderkey % 100 AS slide_id, r AS x, l_partkey AS y, CASE WHEN l_orderkey % 3 = 0 AND l_orderkey % 100 < 50 THEN -r ELSE r END AS rb FROM l WHERE l_quantity >= 5),
+f AS (SELECT slide_id, ra, rb FROM a FULL JOIN b USING (slide_id, x, y)),
+o AS (SELECT *, max(CASE WHEN rb IS NOT NULL THEN ra END) OVER (PARTITION BY slide_id ORDER BY rb NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+c AS (SELECT slide_id, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS common, count(*) FILTER (rb IS NULL) AS source_only, count(*) FILTER (ra IS NULL) AS other_only, count(*) FILTER (rb IS NOT NULL AND ra < before) AS out_of_order FROM o GROUP BY slide_id)
+SELECT *, CASE WHEN other_only > 0 THEN 'different' WHEN source_only = 0 AND out_of_order = 0 THEN 'exact' WHEN out_of_order = 0 THEN 'ordered_subset' ELSE 'subset' END AS correspondence FROM c""",
 )
 def j10_coordinate_compare(spark, d):
-    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*P.KEYS[1:]))
-    line = P.table(spark, d, "lineitem").withColumn("r", r).where("r < 8").select((F.col("l_orderkey") % 100).alias("slide_id"), (F.col("l_orderkey") * 8 + F.col("r")).alias("x"), F.col("l_partkey").alias("y"), (F.col("l_orderkey") * 8 + F.col("r")).alias("row"), "l_quantity")
-    return checks.coordinate_report(line.where("l_quantity < 45"), line.where("l_quantity >= 5"))
+    """Line items of an order are numbered with room for a million of them; in half of the slides a third of the orders stands backwards."""
+    r = F.col("l_orderkey") * 1048576 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*P.KEYS[1:]))
+    line = P.table(spark, d, "lineitem").withColumn("r", r).select("l_orderkey", (F.col("l_orderkey") % 100).alias("slide_id"), F.col("r").alias("x"), F.col("l_partkey").alias("y"), F.col("r").alias("row"), "l_quantity")
+    back = (F.col("l_orderkey") % 3 == 0) & (F.col("l_orderkey") % 100 < 50)
+    return checks.coordinate_report(line.where("l_quantity < 45"), line.where("l_quantity >= 5").withColumn("row", F.when(back, -F.col("row")).otherwise(F.col("row"))))
 
 
 @query(
     "j06_range_shard",
-    """WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), o AS (SELECT l_orderkey, n, sum(n) OVER (ORDER BY l_orderkey) - n AS row_start, sum(n) OVER (ORDER BY l_orderkey) AS row_end FROM s),
-q AS (SELECT i * 97 AS packed_row FROM range(600) t(i)) SELECT packed_row, l_orderkey AS slide_id, CAST(packed_row - row_start AS BIGINT) AS row_in_shard FROM q JOIN o ON packed_row >= row_start AND packed_row < row_end""",
+    """WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), o AS (SELECT l_orderkey, n, sum(n) OVER (ORDER BY l_orderkey) - n AS row_start FROM s)
+SELECT CAST(row_start + i AS BIGINT) AS packed_row, l_orderkey AS slide_id, i AS row_in_shard FROM (SELECT *, unnest(range(n)) AS i FROM o)""",
 )
 def j06_range_shard(spark, d):
-    """Positions to shards: shards are numbered by running sums, positions and shards meet in equal ranges of rows, and the bounds decide."""
-    shards = P.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.floor(F.col("l_orderkey") / 1024))
+    """Every position to its shard: shards are numbered by running sums, positions and shards meet in equal ranges of rows, and the bounds decide."""
+    line = P.table(spark, d, "lineitem")
+    shards = line.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.floor(F.col("l_orderkey") / 1024))
     shards = index.offsets(shards, ["l_orderkey"], "n", "row_start", "row_end", ["g"])
     cell = 256
     shards = shards.withColumn("cell", F.explode(F.sequence(F.floor(F.col("row_start") / cell), F.floor((F.col("row_end") - 1) / cell))))
-    asked = spark.range(600).select((F.col("id") * 97).alias("packed_row")).withColumn("cell", F.floor(F.col("packed_row") / cell))
+    asked = spark.range(line.count()).select(F.col("id").alias("packed_row")).withColumn("cell", F.floor(F.col("packed_row") / cell))
     out = asked.join(shards, "cell").where((F.col("packed_row") >= F.col("row_start")) & (F.col("packed_row") < F.col("row_end")))
     return out.select("packed_row", F.col("l_orderkey").alias("slide_id"), (F.col("packed_row") - F.col("row_start")).alias("row_in_shard"))
 
@@ -429,10 +434,20 @@ def c20_fine_records(spark, d):
     return index.fine_records(P.tiles(spark, d))
 
 
-@query("q10_index_violations", "SELECT CAST(0 AS BIGINT) AS empty_cells, CAST(0 AS BIGINT) AS not_random, CAST(0 AS BIGINT) AS repeated_cells, CAST(0 AS BIGINT) AS empty_groups, CAST(0 AS BIGINT) AS uncovered_entries")
+@query(
+    "q10_index_violations",
+    f"""{TILES}, c AS (SELECT magnification, coarse_cluster_id, fine_cluster_id FROM tiles GROUP BY ALL),
+g AS (SELECT magnification, coarse_cluster_id, fine_cluster_id, slide_id, count(*) AS n FROM tiles GROUP BY ALL), o AS (SELECT *, sum(n) OVER (ORDER BY magnification, coarse_cluster_id, fine_cluster_id, slide_id) AS entry_end FROM g)
+SELECT (SELECT count(*) + count(*) FILTER (coarse_cluster_id = 1) FROM c WHERE fine_cluster_id % 7 = 0) AS empty_cells, (SELECT count(*) + count(*) FILTER (coarse_cluster_id = 1) FROM c WHERE fine_cluster_id % 4 = 0) AS not_random, (SELECT count(*) FROM c WHERE coarse_cluster_id = 1) AS repeated_cells,
+  count(*) FILTER (slide_id % 11 = 0) AS empty_groups, CAST(sum(n) - max(CASE WHEN slide_id % 11 = 0 THEN entry_end - n ELSE entry_end END) AS BIGINT) AS uncovered_entries FROM o WHERE slide_id % 13 <> 0""",
+)
 def q10_index_violations(spark, d):
+    """An index with planted faults: cells without slides, without the random bit and twice, groups without entries and left out."""
     t = P.tiles(spark, d)
-    return index.violations(index.fine_records(t), index.slide_groups(t))
+    records, entries = index.fine_records(t), index.slide_groups(t)
+    records = records.withColumn("slide_end", F.when(F.col(FINE) % 7 == 0, F.col("slide_start")).otherwise(F.col("slide_end"))).withColumn("bucket_mask", F.when(F.col(FINE) % 4 == 0, 0).otherwise(F.col("bucket_mask")))
+    entries = entries.withColumn("entry_end", F.when(F.col("slide_id") % 11 == 0, F.col("entry_start")).otherwise(F.col("entry_end")))
+    return index.violations(records.unionByName(records.where(F.col(COARSE) == 1)), entries.where("slide_id % 13 <> 0"))
 
 
 MIX = {5: 0.1, 10: 0.2, 20: 0.3, 40: 0.4}
@@ -443,19 +458,19 @@ def _draws(spark, d, n=2000):
     return index.draws(spark, t, index.fine_records(t), n, MIX, {"random": 1.0})
 
 
-@query("r04_weighted_magnifications")
+@query("r04_weighted_magnifications", f"WITH d AS (SELECT i AS draw FROM range(4000) t(i)), {P.random_sql('r', 'd', 7, 0, 'r0')} SELECT {P.choice_sql('r0', MIX)} AS magnification, count(*) AS n FROM r GROUP BY ALL")
 def r04_weighted_magnifications(spark, d):
     from lamina.functions import rng
 
     return spark.range(4000).select(rng.choice(rng.random_unit(7, F.col("id"), 0), MIX).alias("magnification")).groupBy("magnification").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r03_draws")
+@query("r03_draws", f"WITH {P.draws_sql(2000, MIX)} SELECT * FROM drawn")
 def r03_draws(spark, d):
     return _draws(spark, d)
 
 
-@query("r03_draw_distribution")
+@query("r03_draw_distribution", f"WITH {P.draws_sql(20000, MIX)} SELECT magnification, coarse_cluster_id, count(*) AS n FROM drawn GROUP BY ALL")
 def r03_draw_distribution(spark, d):
     return _draws(spark, d, 20000).groupBy("magnification", COARSE).agg(F.count(F.lit(1)).alias("n"))
 
@@ -539,15 +554,15 @@ def m03_assign(spark, d):
 @query("m02_kmeans")
 def m02_kmeans(spark, d):
     e = P.table(spark, d, "embeddings")
-    centers, _ = kmeans.fit(e, 10, iterations=10)
+    centers, _ = kmeans.fit(e, 10)
     return kmeans.assign(e, centers, "vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 6).alias("cost"))
 
 
 @query("m05_hierarchy")
 def m05_hierarchy(spark, d):
     e = P.table(spark, d, "embeddings")
-    centers, _ = kmeans.fit(e, 12, iterations=10)
-    levels = kmeans.hierarchy(centers, [4], 10)
+    centers, _ = kmeans.fit(e, 12)
+    levels = kmeans.hierarchy(centers, [4])
     parents = spark.createDataFrame([(i, int(p)) for i, p in enumerate(levels[0][1])], "cluster long, coarse long")
     return kmeans.assign(e, centers, "vec_id").join(F.broadcast(parents), "cluster").groupBy("coarse", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
@@ -712,29 +727,63 @@ def f11_batch_checks(spark, d):
     return P.tiles(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("magnification").isin(5, 10, 20, 40)).alias("bad_magnification"), F.count_if((F.col("x") < 0) | (F.col("x") > 2147483647)).alias("bad_x"), F.count_if(F.col("slide_id").isNull()).alias("no_slide"))
 
 
-INVARIANTS = ["tile_count", "cluster_keys_unique", "coarse_to_fine_exhaustive", "scores_bounded", "composite_formula", "excluded_not_prioritized", "random_matches_eligibility"]
-
-
-@query("q04_invariants", " UNION ALL ".join(f"SELECT '{n}' AS name, true AS passed, CAST(0 AS BIGINT) AS violations" for n in INVARIANTS))
+BROKEN = {
+    "tile_count": "SELECT CAST(count(*) <> count(*) FILTER (quantity < 40) AS BIGINT) AS v FROM tiles",
+    "cluster_keys_unique": "SELECT count(*) AS v FROM bucketed WHERE fine_cluster_id % 6 = 0",
+    "coarse_to_fine_exhaustive": "SELECT count(DISTINCT (magnification, fine_cluster_id)) AS v FROM tiles WHERE fine_cluster_id % 4 = 0",
+    "scores_bounded": "SELECT count(*) AS v FROM scored WHERE NOT (3 * raw_cosine BETWEEN -1.0001 AND 1.0001)",
+    "composite_formula": "SELECT count(*) AS v FROM bucketed WHERE fine_cluster_id % 3 = 0",
+    "excluded_not_prioritized": "SELECT count(*) AS v FROM bucketed WHERE fine_cluster_id % 2 = 0 AND (is_bridge OR is_architecture_bridge OR is_architecture_specific OR is_rare_clean OR is_tissue_specific)",
+    "random_matches_eligibility": "SELECT count(*) AS v FROM bucketed WHERE fine_cluster_id % 5 = 0",
+}
+#: The same rules on the tables as they are.
+SOUND = {
+    "tile_count": "SELECT CAST((SELECT count(*) FROM tiles) <> (SELECT count(*) FROM lineitem) AS BIGINT) AS v",
+    "cluster_keys_unique": "SELECT count(*) - count(DISTINCT (magnification, fine_cluster_id)) AS v FROM bucketed",
+    "coarse_to_fine_exhaustive": "SELECT count(*) AS v FROM (SELECT 1 FROM tiles GROUP BY magnification, fine_cluster_id HAVING count(DISTINCT coarse_cluster_id) > 1)",
+    "scores_bounded": "SELECT count(*) AS v FROM scored WHERE NOT (raw_cosine BETWEEN -1.0001 AND 1.0001 AND percentile_score BETWEEN 0 AND 1)",
+    "composite_formula": "SELECT count(*) AS v FROM bucketed WHERE abs(clean_score - useful_score * cleanliness) > 1e-6",
+    "excluded_not_prioritized": "SELECT count(*) AS v FROM bucketed WHERE NOT sampling_eligible AND (is_bridge OR is_architecture_bridge OR is_architecture_specific OR is_rare_clean OR is_tissue_specific)",
+    "random_matches_eligibility": "SELECT count(*) FILTER (sampling_eligible <> NOT (is_artifact_excluded OR is_support_excluded)) AS v FROM bucketed",
+}
+_rules = lambda rules, mark: " UNION ALL ".join(f"SELECT '{n}{mark}' AS name, v = 0 AS passed, v AS violations FROM ({q})" for n, q in rules.items())
+
+
+@query("q04_invariants", f"{COMP} {_rules(SOUND, '')} UNION ALL {_rules(BROKEN, '_broken')}")
 def q04_invariants(spark, d):
-    t, c = P.tiles(spark, d), _assigned(spark, d)
-    counted = clusters.tile_counts(t, FINE).agg(F.sum("n_tiles").alias("a")).crossJoin(P.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("b")))
+    """The rules on the tables as they are, and on tables with planted faults, whose number SQL counts."""
+    t, c, scored = P.tiles(spark, d), _assigned(spark, d), _scored(spark, d)
+    fine = ["magnification", FINE]
     k = F.col("cleanliness")
     off = F.abs(F.col("clean_score") - F.col("useful_score") * k) > 1e-6
     off |= F.abs(F.col("rare_clean_score") - F.col("rarity_score") * F.col("useful_score") * k * F.col("patient_support") * k) > 1e-6
     any_bucket = F.greatest(*[F.col(f"is_{b}").cast("int") for b in buckets.SCORES]) == 1
-    scored = _scored(spark, d)
-    return checks.all_of(
-        [
-            checks.check("tile_count", counted, checks.count_where(F.col("a") != F.col("b"))),
-            checks.unique("cluster_keys_unique", c, ["magnification", FINE]),
-            checks.unique("coarse_to_fine_exhaustive", t.select("magnification", FINE, COARSE).distinct(), ["magnification", FINE]),
-            checks.check("scores_bounded", scored, checks.count_where((F.col("raw_cosine").between(-1.0001, 1.0001) & F.col("percentile_score").between(0, 1)) == F.lit(False))),
-            checks.check("composite_formula", c, checks.count_where(off)),
-            checks.check("excluded_not_prioritized", c, checks.count_where(~F.col("sampling_eligible") & any_bucket)),
-            checks.check("random_matches_eligibility", c, checks.count_where(F.col("is_random_eligible") != F.col("sampling_eligible"))),
+
+    def rules(mark, tiles, pairs, unique, scored, formula, excluded, random):
+        counted = clusters.tile_counts(tiles, FINE).agg(F.sum("n_tiles").alias("a")).crossJoin(P.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("b")))
+        return [
+            checks.check(f"tile_count{mark}", counted, checks.count_where(F.col("a") != F.col("b"))),
+            checks.unique(f"cluster_keys_unique{mark}", unique, fine),
+            checks.unique(f"coarse_to_fine_exhaustive{mark}", pairs, fine),
+            checks.check(f"scores_bounded{mark}", scored, checks.count_where((F.col("raw_cosine").between(-1.0001, 1.0001) & F.col("percentile_score").between(0, 1)) == F.lit(False))),
+            checks.check(f"composite_formula{mark}", formula, checks.count_where(off)),
+            checks.check(f"excluded_not_prioritized{mark}", excluded, checks.count_where(~F.col("sampling_eligible") & any_bucket)),
+            checks.check(f"random_matches_eligibility{mark}", random, checks.count_where(F.col("is_random_eligible") != F.col("sampling_eligible"))),
         ]
+
+    pairs = t.select(*fine, COARSE).distinct()
+    where = lambda n: F.col(FINE) % n == 0
+    broken = rules(
+        "_broken",
+        t.where("quantity < 40"),
+        pairs.unionByName(pairs.where(where(4)).withColumn(COARSE, F.col(COARSE) + 1)),
+        c.select(*fine).unionByName(c.where(where(6)).select(*fine)),
+        scored.withColumn("raw_cosine", F.col("raw_cosine") * 3),
+        c.withColumn("clean_score", F.when(where(3), F.col("clean_score") + 0.1).otherwise(F.col("clean_score"))),
+        c.withColumn("sampling_eligible", F.col("sampling_eligible") & ~where(2)),
+        c.withColumn("is_random_eligible", F.col("is_random_eligible") != where(5)),
     )
+    return checks.all_of([*rules("", t, pairs, c, scored, c, c, c), *broken])
 
 
 # --- streams -------------------------------------------------------------------
@@ -747,7 +796,7 @@ def st_windowed_counts(spark, d):
     return P.table(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-@query("st_draw_stream")
+@query("st_draw_stream", f"WITH d AS (SELECT i AS draw FROM range(2000) t(i)), {P.random_sql('r', 'd', 7, 3, 'r0')} SELECT {P.index_sql('r0', '37')} AS entry, count(*) AS n FROM r GROUP BY ALL")
 def st_draw_stream(spark, d):
     """2,000 draws from the stream source, drained through a checkpointed query."""
     import uuid
@@ -822,9 +871,22 @@ def q06_evidence(spark, d):
     return relations.evidence(rows, docs.where("doc_id % 5 <> 0").select("path", "content")).select("doc_id", "state")
 
 
-@query("s11_prompt_faults", "SELECT CAST(0 AS BIGINT) AS not_unit, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS blank, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS size_range")
+@query(
+    "s11_prompt_faults",
+    """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END) AS v FROM embeddings WHERE vec_id < 40),
+s AS (SELECT vec_id, CASE WHEN vec_id % 10 = 7 THEN v[1 : len(v) - 1] WHEN vec_id % 10 = 3 THEN list_prepend('NaN'::DOUBLE, v[2:]) ELSE v END AS v FROM c), u AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE vec_id < 5)
+SELECT count(*) FILTER (NOT coalesce(abs(sqrt(list_sum(list_transform(v, lambda x: x * x))) - 1) <= 1e-4, false) OR isnan(list_sum(v))) AS not_unit, count(*) FILTER (isnan(list_sum(v))) AS not_finite,
+  count(*) FILTER (vec_id % 9 = 0) AS blank, count(*) - count(DISTINCT vec_id) AS repeated, CAST(max(len(v)) - min(len(v)) AS BIGINT) AS size_range FROM u""",
+)
 def s11_prompt_faults(spark, d):
-    return relations.prompt_faults(P.concepts(spark, d).withColumn("concept_id", F.col("concept_id").cast("string")))
+    """A concept table with planted faults: lengths, a missing dimension, not-a-number, blank categories, repeated rows."""
+    i = F.col("concept_id")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * F.when(i % 4 == 0, 2).otherwise(1))
+    rows = P.concepts(spark, d).withColumn("embedding", scaled)
+    cut = F.slice("embedding", 1, F.size("embedding") - 1)
+    nan = F.concat(F.array(F.lit(float("nan"))), F.slice("embedding", 2, F.size("embedding") - 1))
+    rows = rows.withColumn("embedding", F.when(i % 10 == 7, cut).when(i % 10 == 3, nan).otherwise(F.col("embedding"))).withColumn("category", F.when(i % 9 == 0, " ").otherwise(F.col("category")))
+    return relations.prompt_faults(rows.unionByName(rows.where("concept_id < 5")).withColumn("concept_id", i.cast("string")))
 
 
 @query("s08_exclusions", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'target_above_scan' ELSE NULL END AS reason FROM orders WHERE o_orderkey % 10 <> 0")

@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable
 
 from lamina.functions.documents import canonical_hash
-from lamina.sources.writers import json_atomic
+from lamina.sources.writers import json_atomic, json_text
 
 
 class ManifestError(RuntimeError):
@@ -20,22 +20,30 @@ def fingerprint(records: list[tuple[str, int, int]]) -> str:
 
 
 class Manifest:
-    """Stages run in their order; starting one forgets it, all later ones and the approval."""
+    """Stages run in their order; starting one forgets it, all later ones and the approval. With a storage (see `lamina.session`), the file may lie in any store."""
 
-    def __init__(self, path: str, stages: list[str], config: dict, inputs: str) -> None:
-        self.path, self.stages = path, stages
+    def __init__(self, path: str, stages: list[str], config: dict, inputs: str, storage=None) -> None:
+        self.path, self.stages, self.storage = path, stages, storage
         identity = {"config_hash": canonical_hash(config), "input_fingerprint": inputs, "profile": config.get("profile", "production")}
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                self.state = json.load(f)
+        if storage.exists(path) if storage else os.path.exists(path):
+            self.state = json.loads(self._read())
             for k in ("config_hash", "input_fingerprint"):
                 if self.state[k] != identity[k]:
                     raise ManifestError(f"{k} has changed since the run began")
         else:
             self.state = identity | {"schema_version": 1, "stages": {}, "approved": False}
 
+    def _read(self) -> str:
+        if self.storage:
+            return self.storage.read(self.path)
+        with open(self.path, encoding="utf-8") as f:
+            return f.read()
+
     def save(self) -> None:
-        json_atomic(self.path, self.state)
+        if self.storage:
+            self.storage.write(self.path, json_text(self.state))
+        else:
+            json_atomic(self.path, self.state)
 
     def begin(self, stage: str, outputs: list[str], exists: Callable[[str], bool], remove: Callable[[str], None], overwrite: bool = False) -> bool:
         """False if the stage is done and its outputs are there; else clears the way, or refuses."""

@@ -54,11 +54,16 @@ tiles AS (
 
 
 def packed_rows(tiles: DataFrame) -> DataFrame:
-    """Adds packed_row_index, the position inside the magnification's slide; slides are the partitions, so no global sort."""
-    return tiles.withColumn("packed_row_index", F.row_number().over(Window.partitionBy("slide_id").orderBy(*KEYS[1:])) - 1 + F.col("slide_id") * 1024)
+    """Adds packed_row_index, the position among all tiles in the order of slide and key. Slides start where the ones before them end; these totals are summed in two levels, so nothing is ordered as a whole."""
+    from lamina.operators.index import offsets
 
+    slides = tiles.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.col("slide_id") / 1024))
+    starts = offsets(slides, ["slide_id"], "n", "row_start", "row_end", ["range"]).select("slide_id", "row_start")
+    place = F.row_number().over(Window.partitionBy("slide_id").orderBy(*KEYS[1:])) - 1
+    return tiles.withColumn("at", place).join(starts, "slide_id").withColumn("packed_row_index", F.col("at") + F.col("row_start")).drop("at", "row_start")
 
-PACKED = f"packed AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY {', '.join(KEYS[1:])}) - 1 + slide_id * 1024 AS packed_row_index FROM tiles)"
+
+PACKED = f"packed AS (SELECT *, row_number() OVER (ORDER BY slide_id, {', '.join(KEYS[1:])}) - 1 AS packed_row_index FROM tiles)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +145,50 @@ SCORE_NAMES = ["bridge_score", "architecture_bridge_score", "architecture_specif
 def composite_sql(entropy: float = 0.5) -> str:
     thr = ", ".join(f"quantile_cont({s}, 0.8) FILTER (sampling_eligible) AS {s}_threshold" for s in SCORE_NAMES)
     return COMPOSITE.replace("{thr}", thr).replace("{entropy}", str(entropy))
+
+
+UNITS = 1 << 64
+
+
+def random_sql(name: str, source: str, seed: int, stream: int, into: str) -> str:
+    """CTEs that add a counter-based number of `draw` to the rows of `source`: unsigned arithmetic in 128 bits, taken modulo 2**64."""
+    from lamina.functions import rng
+
+    u = lambda n: f"{n}::UHUGEINT"
+    mixed = f"(xor({u(seed)}, xor((draw::UHUGEINT * {u(rng.DRAW)}) % {u(UNITS)}, {u(stream * rng.STREAM % UNITS)})) + {u(rng.GOLDEN)}) % {u(UNITS)}"
+    turn = lambda x, bits, by: f"(xor({x}, {x} // {u(1 << bits)}) * {u(by)}) % {u(UNITS)}"
+    return f"""{name}_1 AS (SELECT *, {mixed} AS z1 FROM {source}),
+{name}_2 AS (SELECT * EXCLUDE (z1), {turn("z1", 30, rng.FIRST)} AS z2 FROM {name}_1),
+{name}_3 AS (SELECT * EXCLUDE (z2), {turn("z2", 27, rng.SECOND)} AS z3 FROM {name}_2),
+{name} AS (SELECT * EXCLUDE (z3), xor(z3, z3 // {u(1 << 31)}) AS {into} FROM {name}_3)"""
+
+
+def index_sql(number: str, size: str) -> str:
+    return f"CAST(({number} * {size}::UHUGEINT) // {UNITS}::UHUGEINT AS BIGINT)"
+
+
+def choice_sql(number: str, weights: dict) -> str:
+    from lamina.functions import rng
+
+    when = " ".join(f"WHEN CAST({number} AS DOUBLE) / {float(UNITS)!r}::DOUBLE < {bound!r}::DOUBLE THEN {key!r}" for key, bound in rng.shares(weights))
+    return f"CASE {when} END"
+
+
+def draws_sql(n: int, weights: dict) -> str:
+    """Hierarchical draws of the random bucket: magnification, coarse cell, fine cell, slide, tile."""
+    ordinal = lambda keys, by: f"row_number() OVER (PARTITION BY {keys} ORDER BY {by}) - 1"
+    cell = "magnification, coarse_cluster_id, fine_cluster_id"
+    return f"""{TILES}, {PACKED}, d0 AS (SELECT i AS draw FROM range({n}) t(i)),
+{random_sql("d1", "d0", 7, 0, "r0")}, d2 AS (SELECT draw, {choice_sql("r0", weights)} AS magnification FROM d1),
+coarse AS (SELECT *, {ordinal("magnification", "coarse_cluster_id")} AS coarse_at, count(*) OVER (PARTITION BY magnification) AS n_coarse FROM (SELECT magnification, coarse_cluster_id, count(DISTINCT fine_cluster_id) AS n_fine FROM tiles GROUP BY ALL)),
+fine AS (SELECT *, {ordinal("magnification, coarse_cluster_id", "fine_cluster_id")} AS fine_at FROM (SELECT {cell}, count(DISTINCT slide_id) AS n_slides FROM tiles GROUP BY ALL)),
+slides AS (SELECT *, {ordinal(cell, "slide_id")} AS slide_at FROM (SELECT {cell}, slide_id, count(*) AS n_entries FROM tiles GROUP BY ALL)),
+entries AS (SELECT {cell}, slide_id, packed_row_index, {ordinal(cell + ", slide_id", "packed_row_index")} AS tile_at FROM packed),
+{random_sql("d3", "d2", 7, 2, "r2")},
+d4 AS (SELECT draw, d3.magnification, c.coarse_cluster_id, c.n_fine FROM d3 JOIN coarse c ON c.magnification = d3.magnification AND c.coarse_at = {index_sql("r2", "n_coarse")}),
+{random_sql("d5", "d4", 7, 3, "r3")},
+d6 AS (SELECT draw, f.* FROM d5 JOIN fine f ON f.magnification = d5.magnification AND f.coarse_cluster_id = d5.coarse_cluster_id AND f.fine_at = {index_sql("r3", "n_fine")}),
+{random_sql("d7", "d6", 7, 4, "r4")},
+d8 AS (SELECT draw, s.* FROM d7 JOIN slides s USING ({cell}) WHERE s.slide_at = {index_sql("r4", "n_slides")}),
+{random_sql("d9", "d8", 7, 5, "r5")},
+drawn AS (SELECT draw, e.magnification, 'random' AS bucket, e.coarse_cluster_id, e.fine_cluster_id, e.slide_id, e.packed_row_index FROM d9 JOIN entries e USING ({cell}, slide_id) WHERE e.tile_at = {index_sql("r5", "n_entries")})"""

@@ -49,9 +49,13 @@ def text_atomic(path: str, text: str) -> None:
         raise
 
 
-def json_atomic(path: str, value) -> None:
+def json_text(value) -> str:
     """JSON without NaN."""
-    text_atomic(path, json.dumps(value, indent=2, sort_keys=True, allow_nan=False) + "\n")
+    return json.dumps(value, indent=2, sort_keys=True, allow_nan=False) + "\n"
+
+
+def json_atomic(path: str, value) -> None:
+    text_atomic(path, json_text(value))
 
 
 def append_lines(frame: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from lamina.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["p01_tile_fact", "j06_range_shard", "a05_cluster_entropy", "a10_fine_statistics", "w02_representatives", "w01_percentile", "f08_buckets", "a18_dominance", "w04_csr_offsets", "a26_topk_accuracy", "a29_islands", "w06_trailing_meter", "p14_hsv", "q04_invariants"]
+SAMPLE = sorted(catalogue.ORACLES)
 
 
 @pytest.fixture(scope="module")

@@ -94,3 +94,26 @@ def test_config(tmp_path):
     assert config.magnification_folders(["5=a", "10=b", "20x=c", "40=d"])[20] == "c"
     with pytest.raises(ValueError):
         config.magnification_folders(["5=a"])
+
+
+def test_redaction_of_repeated_keys(spark):
+    """Places belong to texts: rows of one key, or without one, keep their own tokens."""
+    rows = [(1, "a /home/x/one b"), (1, "see /data/y/two and /home/x/one"), (None, "mail me@site.org"), (None, None), (2, "plain"), (1, "a /home/x/one b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in text.redacted(docs).collect()), key=str)
+    one, two, mail = "PRIVATE_0002", "PRIVATE_0001", "PRIVATE_0003"
+    assert got == sorted([(1, f"a {one} b"), (1, f"see {two} and {one}"), (None, f"mail {mail}"), (None, None), (2, "plain"), (1, f"a {one} b")], key=str)
+    found = spark.createDataFrame([("/home/x/one",), ("/data/y/two",), ("me@site.org",)], "value string")
+    back = text.restored(text.redacted(docs), text.redaction_map(found))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_numbered_by_sampled_ranges(spark):
+    """Values of one prefix are not one range."""
+    values = [f"TCGA-{i * 7919 % 10007:05d}" for i in range(10000)]
+    rows = spark.createDataFrame([(v,) for v in values], "s string").repartition(5)
+    got = text.numbered(rows, "s", "n", rows=500)
+    assert {r.s: r.n for r in got.collect()} == {v: i for i, v in enumerate(sorted(values))}
+    assert rows.select(text.range_of(rows, "s", 500).alias("g")).groupBy("g").count().agg(F.max("count")).first()[0] < 2000
+    whole = spark.range(5000).withColumn("n", -F.col("id"))
+    assert text.numbered(whole, "n", "at", rows=300).where(F.col("at") != 4999 + F.col("n")).count() == 0

@@ -1,3 +1,4 @@
+import collections
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -114,6 +115,16 @@ def test_samplers(spark):
     assert [r.i for r in index.sampler("sequential", rows, "i", rank=1, world=5).collect()] == [1, 6, 11, 16]
     parts = [r.i for k in range(3) for r in index.sampler("epoch", rows, "i", seed=3, epoch=2, rank=k, world=3).collect()]
     assert sorted(parts) == list(range(20))
+    order = lambda **o: [r.i for r in index.sampler("epoch", rows, "i", **o).collect()]
+    assert [len(order(rank=k, world=3, epoch=1)) for k in range(3)] == [7, 7, 6]
+    whole = order(epoch=1)
+    assert whole[1::3] == order(rank=1, world=3, epoch=1) and whole != order(epoch=2) and order(epoch=2, seed=3) == order(epoch=3, seed=2)
+    more = collections.Counter(order(size=47, epoch=4))
+    assert sum(more.values()) == 47 and all(more[i] == (3 if i < 7 else 2) for i in range(20))
+    assert sorted(order(size=5)) == list(range(5)) and order(size=0) == []
+    records = {"n": 5, "magnifications": {5: 1.0}, "buckets": {"random": 1.0}}
+    cells = spark.createDataFrame([(5, f, f % 2, s, s * 100 + f) for f in range(4) for s in range(3)], "magnification int, fine_cluster_id int, coarse_cluster_id int, slide_id int, packed_row_index int")
+    assert index.sampler("hierarchical", cells, "packed_row_index", records=index.fine_records(cells), **records).count() == 5
     a = {r.draw: r.i for r in index.sampler("infinite", rows, "i", seed=1, n=30).collect()}
     b = {r.draw: r.i for r in index.sampler("infinite", rows, "i", seed=1, start=10, n=20).collect()}
     assert all(a[k] == v for k, v in b.items())
