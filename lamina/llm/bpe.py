@@ -30,7 +30,7 @@ from lamina.llm._session import arrow_map, named
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = 200_000
-CACHE = 400_000
+CACHE = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -243,9 +243,31 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", into: str = "de
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, encoded.columns, strict=True)], F.col("decoded").alias(into))
 
 
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (by default doc_id), ids and decoded: encode() and decode() by one pass of one worker, so a task holds one vocabulary and texts go to Python once."""
+    spark = docs.sparkSession
+    shared = shared_text(spark, tokenizer)
+    keep = ["doc_id"] if keep is None else keep
+    frame = docs.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)], named(text).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(shared)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = vocabulary.encode(part.column(len(keep)).to_pylist())
+                texts = [vocabulary.decode(x) if x else "" for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=[*[f"k{i}" for i in range(len(keep))], "ids", "decoded"])
+        vocabulary.words.clear()  # the worker lives on
+        vocabulary.follows.clear()
+
+    out = arrow_map(frame, run, T.StructType([*frame.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "decoded")
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    out = decode(encode(docs, tokenizer), tokenizer)
+    out = round_trip(docs, tokenizer)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -167,7 +167,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.buffer(batch.column(0))
-            for i, j in A.slices(offsets, 4 * SLICE):
+            for i, j in A.slices(offsets, 2 * SLICE):
                 h, _, stems = read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 w, first, n = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (w, *[stems(first, s) for s in STEMS])], pa.array(n)], names=["w", *[f"s{s}" for s in STEMS], "n"])

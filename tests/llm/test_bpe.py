@@ -50,3 +50,20 @@ def test_documents(pair, docs, empty, doubled):
         ids, text = got[r.doc_id]
         assert text == (r.text or "") and list(memoryview(ids).cast("I")) == pair[1].encode(r.text or "", add_special_tokens=False).ids
     assert bpe.digests(empty, PATH).count() == 0 and bpe.digests(doubled, PATH).count() == doubled.count()
+
+
+def test_round_trip(docs):
+    """One pass gives what encode() and decode() give, and workers tell tokenizer files apart."""
+    two = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
+    assert {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.round_trip(docs, PATH).collect()} == two
+
+
+def test_workers_serve_the_file_they_are_given(pair):
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+    one = bpe._vocabulary(Shared(("a", text)))
+    assert bpe._vocabulary(Shared(("a", text))) is one and bpe._vocabulary(Shared(("b", text))) is not one
