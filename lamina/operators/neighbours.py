@@ -18,49 +18,57 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def best_of(names: np.ndarray, matrix: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], k: int, skip_self: bool, digits: int) -> pa.RecordBatch:
+    """The k best of the rows in parts (keys, vectors) for each query."""
+    best_s, best_i = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+    for other, vectors in parts:
+        s = np.round(matrix @ vectors.T, digits)
+        if skip_self:
+            s[names[:, None] == other[None, :]] = -np.inf
+        s, i = np.c_[best_s, s], np.c_[best_i, np.broadcast_to(other, s.shape)]
+        order = np.lexsort((i, -s), axis=1)[:, :k]
+        best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    good = np.isfinite(best_s).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_s.shape[1])[good]), pa.array(best_i.ravel()[good]), pa.array(best_s.ravel()[good])], names=["query", "neighbour", "similarity"])
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, digits: int = 9, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query, neighbour, similarity, rank: the k rows of greatest inner product (least key of equals).
 
-    The stated queries are taken in blocks of at most `block_bytes`; a block is
-    broadcast, each task keeps its k best for every query, and only these meet.
+    The stated queries are measured first. If they fit in `block_bytes`, they are
+    broadcast and the rows are not shuffled; else both sides are dealt to blocks
+    of that size by key, and every block of queries meets every block of rows in
+    a task of its own. Each task keeps its k best for every query, and only
+    these meet.
     """
-    spark = rows.sparkSession
-    held = queries.select(key, vector).orderBy(key).toLocalIterator(prefetchPartitions=False)
-    out, block, ids, size = None, [], [], 0
-
-    def search(ids: list, block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array(ids), np.array(block, np.float64)))
+    spark, kinds = rows.sparkSession, "query long, neighbour long, similarity double"
+    asked, held = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")), rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
+    weight = lambda frame: frame.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
+    pieces = lambda table: ((np.asarray(b.column(0)), vectors_of(b.column(1))) for b in table.to_batches(max_chunksize=4096) if b.num_rows)
+    size = weight(asked)
+    if size <= block_bytes:
+        table = asked.orderBy("key").toArrow()  # at most block_bytes
+        shared = spark.sparkContext.broadcast((np.asarray(table.column(0)), vectors_of(table.column(1))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            best_s = np.full((len(names), 0), -np.inf)
-            best_i = np.zeros((len(names), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    other = np.asarray(part.column(0))
-                    s = np.round(matrix @ vectors_of(part.column(1)).T, digits)
-                    if skip_self:
-                        s[names[:, None] == other[None, :]] = -np.inf
-                    s, i = np.c_[best_s, s], np.c_[best_i, np.broadcast_to(other, s.shape)]
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            q = np.repeat(names, best_s.shape[1])
-            good = np.isfinite(best_s).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(best_i.ravel()[good]), pa.array(best_s.ravel()[good])], names=["query", "neighbour", "similarity"])
-
-        return rows.select(F.col(key).cast("long"), vector).mapInArrow(run, "query long, neighbour long, similarity double")
-
-    for row in held:
-        ids.append(row[0])
-        block.append(row[1])
-        size += 8 * len(row[1] or ())
-        if size >= block_bytes:
-            part = search(ids, block)
-            out, block, ids, size = part if out is None else out.unionByName(part), [], [], 0
-    if ids or out is None:
-        part = search(ids, block or np.zeros((0, 0)))
-        out = part if out is None else out.unionByName(part)
+            if len(names):
+                parts = (p for b in batches for p in pieces(pa.Table.from_batches([b])))
+                yield best_of(names, matrix, parts, k, skip_self, digits)
+
+        out = held.mapInArrow(run, kinds)
+    else:
+        n_asked, n_held = -(-size // block_bytes), max(1, -(-weight(held) // block_bytes))
+        block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+        left = asked.withColumn("q", block(n_asked)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(int(n_held - 1)))))
+        right = held.withColumn("r", block(n_held)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(int(n_asked - 1)))))
+
+        def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+            if not one.num_rows or not two.num_rows:
+                return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "neighbour", "similarity"])
+            return pa.Table.from_batches([best_of(np.asarray(one.column("key")), vectors_of(one.column("v")), pieces(two.select(["key", "v"])), k, skip_self, digits)])
+
+        out = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(meet, kinds)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -13,7 +13,7 @@ from lamina.functions import documents as D
 from lamina.functions import images, schedules
 from lamina.functions import text as X
 from lamina.functions import vectors as V
-from lamina.operators import buckets, checks, clusters, index, kmeans, neighbours, relations, semantic, series
+from lamina.operators import buckets, checks, clusters, evaluation, index, kmeans, neighbours, provenance, relations, semantic, series
 from lamina.plans import proxy as P
 from lamina.sources import files
 
@@ -947,3 +947,71 @@ def p12_distances(spark, d):
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     both = e.join(b, "vec_id")
     return both.select("vec_id", (F.round(V.expanded_distance(F.col("embedding"), F.col("other")), 6) + 0.0).alias("l2"), (F.round(V.cosine_distance(F.col("embedding"), F.col("other")), 6) + 0.0).alias("cosine"))
+
+
+# --- evaluation and provenance ----------------------------------------------------
+
+
+@query("m08_probe_grid")
+def m08_probe_grid(spark, d):
+    """Linear probes of two blocks of dimensions and three rates, trained together."""
+    rows = index.split(P.table(spark, d, "embeddings"), "vec_id")
+    size = len(rows.first()["embedding"])
+    out = evaluation.probe_grid(rows.where("is_train"), rows.where("not is_train"), [0.1, 1.0, 10.0], {"all": (0, size), "half": (size // 2, size)}, 10, steps=20)
+    return out.select("block", "rate", r6("accuracy"))
+
+
+@query("a30_reduced", "WITH b AS (SELECT event_id // 100 AS step, event_type AS name, round(avg(value), 6) AS mean, count(value) AS ranks FROM events GROUP BY ALL) SELECT * FROM b")
+def a30_reduced(spark, d):
+    e = P.table(spark, d, "events").select(F.floor(F.col("event_id") / 100).alias("step"), F.col("event_type").alias("name"), "value")
+    return evaluation.reduced(e).select("step", "name", r6("mean"), "ranks")
+
+
+@query("x14_accumulated", "SELECT event_type, CAST(count(*) FILTER (value > 0) AS BIGINT) AS correct, count(*) AS counted, round(count(*) FILTER (value > 0) / count(*), 6) AS value FROM events GROUP BY event_type")
+def x14_accumulated(spark, d):
+    """Batches of 64 events are counted, then the counts are added up."""
+    e = P.table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 64).alias("batch")).agg(F.count_if(F.col("value") > 0).alias("hit"), F.count(F.lit(1)).alias("n"))
+    return evaluation.accumulated(e, ["event_type"], "hit", "n").select("event_type", "correct", "counted", r6("value"))
+
+
+@query("x13_enumerated", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS at, o_orderstatus AS label FROM orders")
+def x13_enumerated(spark, d):
+    out = evaluation.enumerated(P.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    return out.select("o_orderkey", F.col("target.index").alias("at"), F.col("target.label").alias("label"))
+
+
+@query("f12_accepted_crop", "WITH c AS (SELECT l_orderkey AS image, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordinal, l_discount AS background FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN background <= 0.03::DOUBLE THEN 0 ELSE 1 END, CASE WHEN background <= 0.03::DOUBLE THEN 0 ELSE background END, ordinal) AS n FROM c) SELECT image, min(ordinal) AS ordinal, round(min(background), 6) AS background FROM r WHERE n = 1 GROUP BY image")
+def f12_accepted_crop(spark, d):
+    line = P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("ordinal"), F.col("l_discount").alias("background"))
+    return provenance.accepted_crop(line, ["image"], "ordinal", "background", 0.03).select("image", "ordinal", r6("background"))
+
+
+@query("f03_filter_report", "SELECT o_orderkey AS slide_id, CASE WHEN o_orderkey % 9 = 0 THEN 'excluded' WHEN o_orderkey % 4 = 0 THEN 'missing_filter' WHEN o_orderkey % 7 = 0 THEN 'unexpected_filter' ELSE 'filtered' END AS state FROM orders WHERE NOT (o_orderkey % 4 = 0 AND o_orderkey % 7 = 0)")
+def f03_filter_report(spark, d):
+    o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("slide_id"))
+    return provenance.filter_report(o.where("slide_id % 7 <> 0"), o.where("slide_id % 4 <> 0"), o.where("slide_id % 9 = 0"))
+
+
+@query("s04_inspected", "SELECT o_orderkey AS slide, CASE WHEN o_orderkey % 5 = 0 THEN 'features are not a matrix' WHEN o_orderkey % 6 = 0 THEN 'coordinates are not pairs' WHEN o_orderkey % 8 = 0 THEN 'features and coordinates differ in length' WHEN o_custkey % 7 = 0 THEN 'no tiles' ELSE 'ok' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 512 ELSE 256 END AS patch_size FROM orders")
+def s04_inspected(spark, d):
+    o = P.table(spark, d, "orders")
+    k, n = F.col("o_orderkey"), F.col("o_custkey") % 7
+    shards = o.select(k.alias("slide"), F.when(k % 5 == 0, 3).otherwise(2).alias("feature_dims"), F.when(k % 6 == 0, 3).otherwise(2).alias("coord_columns"), n.alias("feature_rows"), F.when(k % 8 == 0, n + 1).otherwise(n).alias("coord_rows"), F.when(k % 3 == 0, "512").otherwise("none").alias("patch_size"), F.lit(None).cast("string").alias("target_patch_size"), F.lit(None).cast("string").alias("level0_magnification"), F.lit(None).cast("string").alias("target_magnification"))
+    good, bad = provenance.inspected(shards, F.lit(20))
+    return good.select("slide", F.lit("ok").alias("state"), "patch_size").unionByName(bad.select("slide", F.col("reason").alias("state"), "patch_size"))
+
+
+@query("x06_due_tasks", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0")
+def x06_due_tasks(spark, d):
+    """Results are there for a third of the tasks, some of which have other settings now."""
+    tasks = P.table(spark, d, "orders").select("o_orderkey", F.lit(0.45).alias("coverage"))
+    before = tasks.where("o_orderkey % 3 = 0").withColumn("coverage", F.when(F.col("o_orderkey") % 5 == 0, 0.5).otherwise(0.45))
+    done = provenance.due_tasks(before, spark.createDataFrame([], "fingerprint string"), ["o_orderkey", "coverage"])
+    return provenance.due_tasks(tasks, done, ["o_orderkey", "coverage"]).select("o_orderkey")
+
+
+@query("x08_cluster_members", "SELECT l_suppkey % 16 AS cluster, l_orderkey // 1000 AS block, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total, min(l_orderkey) AS first FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY ALL")
+def x08_cluster_members(spark, d):
+    rows = P.table(spark, d, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("row")).distinct().select((F.col("l_suppkey") % 16).alias("cluster"), "row")
+    out = provenance.cluster_members(rows, block=1000)
+    return out.select("cluster", "block", F.size("rows").cast("long").alias("n"), F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("rows")[0].alias("first"))
