@@ -42,12 +42,14 @@ class Symbols:
     """How texts become symbols, and which windows count as repeats.
 
     within: windows that repeat an earlier one of the same document count too.
+    early: a batch settles its windows before they travel, not only its equal stretches.
     """
 
     length: int
     gram: int
     words: bool
     within: bool
+    early: bool = True
 
     def read(self, data: np.ndarray, offsets: np.ndarray):
         """Symbols, their offsets by row, and word bounds."""
@@ -149,6 +151,11 @@ class Block:
         return out
 
 
+def unsettled(block: Block):
+    """No window is settled yet."""
+    return (np.zeros(len(block.at), bool),)
+
+
 def looked_into(how: Symbols, settle, body: np.ndarray, size: np.ndarray, count: np.ndarray, start: np.ndarray, key: np.ndarray):
     """Settles stretches with their text.
 
@@ -223,12 +230,21 @@ def pack(*columns: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+#: Kind of a column of small numbers that travels as its steps, which compress well where the numbers ascend.
+STEPS = "steps"
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values.astype(np.int64), prepend=0).astype("<i4")
+
+
 def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     raw = memoryview(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(raw, "<i8", n, 8), 8 * (n + 1), []
     for kind, size in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(raw[at : at + size], kind))
+        part = np.frombuffer(raw[at : at + size], "<i4" if kind == STEPS else kind)
+        out.append(np.cumsum(part, dtype=np.int64).astype("<u4") if kind == STEPS else part)
         at += int(size)
     return out
 
@@ -340,13 +356,15 @@ def pivots(how: Symbols, keys: np.ndarray):
         sent = ~here
         sent[head] = True
         shared, pivot, row, start = here[sent], pivot[sent], row[sent], start[sent]
+        order = np.lexsort((start, row))  # in reading order places and starts travel as small steps
+        shared, pivot, row, start = shared[order], pivot[order], row[order], start[order]
 
         mixed = A.mix(pivot)
         code = (mixed >> A.U(32)).astype("<u4")  # within a bucket; the rare clash only costs a candidate
 
         def make(at: np.ndarray) -> bytes:
             ks, hs, place = table(row[at], k, h)
-            return pack(code[at], place, start[at], shared[at], ks, hs)
+            return pack(code[at], steps(place), steps(start[at]), shared[at], ks, hs)
 
         yield dealt((mixed % A.U(len(keys))).astype(np.int64), keys, make)
 
@@ -372,7 +390,7 @@ def shared_pivots(how: Symbols, keys: np.ndarray):
     """Pass 1, reduce side: where the pivots are that occur in more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, settled = gather(batches, ["<u4", "<u4", "<u4", "?", "<i8", "<i8"])
+        got, settled = gather(batches, ["<u4", STEPS, STEPS, "?", "<i8", "<i8"])
         yield from settled
         if got is None:
             return
@@ -455,7 +473,7 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
         count, pivot, row, start, at, size = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(count):
             return
-        block, mine, again, *source, whole = looked_into(how, settle, data[spread(at, size)], size, count, start, k[row])
+        block, mine, again, *source, whole = looked_into(how, settle if how.early else unsettled, data[spread(at, size)], size, count, start, k[row])
         yield for_documents(*all_factors(how, block, mine, again, source, whole, row, start, count, k[row]), k, h, keys)
         left = np.flatnonzero(~again)
         if not len(left):
@@ -469,7 +487,8 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
 
         def make(at: np.ndarray) -> bytes:
             ks, hs, where = table(of[head[at]], k, h)
-            return pack(count[at].astype("<u4"), where, each[head[at]].astype("<u4"), size[at].astype("<u4"), block.body[spread(low_byte[at], size[at])], ks, hs)
+            sizes = size[at].astype("<u4") if how.words else np.zeros(0, "<u4")  # else they follow from the counts
+            return pack(count[at].astype("<u4"), steps(where), steps(each[head[at]]), sizes, block.body[spread(low_byte[at], size[at])], ks, hs)
 
         yield dealt((A.mix(pivot[head]) % A.U(len(keys))).astype(np.int64), keys, make)
 
@@ -480,11 +499,12 @@ def resolved(how: Symbols, keys: np.ndarray, settle):
     """Pass 2, reduce side: windows that repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, settled = gather(batches, ["<u4", "<u4", "<u4", "<u4", "u1", "<i8", "<i8"])
+        got, settled = gather(batches, ["<u4", STEPS, STEPS, "<u4", "u1", "<i8", "<i8"])
         yield from settled
         if got is None:
             return
         count, row, start, size, body, k, h = got
+        size = size if how.words else count + np.uint32(how.length - 1)
         key = k[row]
         block, mine, again, *source, whole = looked_into(how, settle, body, size, count, start, key)
         yield for_documents(*all_factors(how, block, mine, again, source, whole, row, start, count, key), k, h, keys)

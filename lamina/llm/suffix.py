@@ -129,7 +129,7 @@ def finish(length: int):
 
 def dedup(docs: DataFrame, length: int = 50, gram: int = 16, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, the removed spans (byte start and length) and the kept bytes of each document."""
-    how = R.Symbols(length, min(gram, length), words=False, within=False)
+    how = R.Symbols(length, min(gram, length), words=False, within=False, early=False)
     schema = "n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
     return R.repeats(docs, how, earlier_documents, finish(length), schema, id_column, text)
 
