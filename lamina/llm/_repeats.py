@@ -123,8 +123,8 @@ class Block:
         self.count = count.astype(np.int64)
         self.ends = np.cumsum(self.count)
         self.at = spread(self.by[:-1], self.count)  # each window's first symbol
-        self.of = np.repeat(np.arange(len(count)), self.count)
-        self.start = start.astype(np.int64)[self.of] + self.at - self.by[self.of]
+        self.of = np.repeat(np.arange(len(count), dtype=np.int32), self.count)
+        self.start = self.at + (start.astype(np.int64) - self.by[:-1])[self.of]
         self.key = key[self.of]
 
     def groups(self) -> np.ndarray:
@@ -521,7 +521,7 @@ def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_colum
     """
     key, body = named(id_column).cast("long"), F.coalesce(named(text).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(key, F.lit(LAST)).alias("k"), F.xxhash64(body, key.isNull()).alias("h"), key.isNull().alias("none"), body.alias("text"))
-    n = tasks_for(base, TASK_BYTES)
+    n = tasks_for(base, TASK_BYTES if how.early else TASK_BYTES // 2)  # windows that batches did not settle meet there
     keys = murmur_keys(n)
     kind = FACTOR if how.within else SPAN
     first = arrow_map(base, pivots(how, keys), RECORD).repartition(n, "bucket")

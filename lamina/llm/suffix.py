@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lamina.llm import _arrow as A
 from lamina.llm import _repeats as R
 
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 def suffix_keys(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
