@@ -521,7 +521,7 @@ def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_colum
     """
     key, body = named(id_column).cast("long"), F.coalesce(named(text).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(key, F.lit(LAST)).alias("k"), F.xxhash64(body, key.isNull()).alias("h"), key.isNull().alias("none"), body.alias("text"))
-    n = tasks_for(base, TASK_BYTES if how.early else TASK_BYTES // 2)  # windows that batches did not settle meet there
+    n = tasks_for(base, TASK_BYTES if how.early else TASK_BYTES * 4 // 5)  # windows that batches did not settle meet there
     keys = murmur_keys(n)
     kind = FACTOR if how.within else SPAN
     first = arrow_map(base, pivots(how, keys), RECORD).repartition(n, "bucket")
