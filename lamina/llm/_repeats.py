@@ -13,6 +13,9 @@ candidates only; `settle` compares symbols. Both passes settle what repeats
 inside one Arrow batch at once and send one representative on, so the largest
 group that meets in a task has a record per batch, not per row. Records travel
 as packed columns, dealt to a number of tasks that follows the table's size.
+They name a document by its group of rows (those whose records were made
+together) and its place there, in few bytes however many tasks there are; the
+keys of a group's rows travel once, to the task that gathers its results.
 Whole texts cross the network once, keyed by document; both joins share that
 exchange.
 """
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,38 +234,42 @@ def pack(*columns: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-#: Kind of a column of small numbers that travels as its steps, which compress well where the numbers ascend.
-STEPS = "steps"
+#: Kinds of columns that travel as their steps, which compress well where the numbers ascend: numbers below 2^32, and any.
+STEPS, FAR_STEPS = "steps", "far steps"
 
 
 def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values.astype(np.int64), prepend=0).astype("<i4")
 
 
+def far_steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values.astype("<i8"), prepend=np.int64(0))  # beyond 63 bits the steps wrap, and so does their sum
+
+
 def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     raw = memoryview(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(raw, "<i8", n, 8), 8 * (n + 1), []
     for kind, size in zip(kinds, sizes, strict=True):
-        part = np.frombuffer(raw[at : at + size], "<i4" if kind == STEPS else kind)
-        out.append(np.cumsum(part, dtype=np.int64).astype("<u4") if kind == STEPS else part)
+        part = np.frombuffer(raw[at : at + size], {STEPS: "<i4", FAR_STEPS: "<i8"}.get(kind, kind))
+        if kind in (STEPS, FAR_STEPS):
+            part = np.cumsum(part, dtype=np.int64)
+        out.append(part.astype("<u4") if kind == STEPS else part)
         at += int(size)
     return out
 
 
-def dealt(bucket: np.ndarray, keys: np.ndarray, make: Callable[[np.ndarray], bytes], settled: bool = False) -> pa.RecordBatch:
+#: Kinds of records: entries to be settled, settled values, the keys of a group's rows.
+ENTRIES, VALUES, KEYS = 0, 1, 2
+
+
+def dealt(bucket: np.ndarray, keys: np.ndarray, make: Callable[[np.ndarray], bytes], kind: int = ENTRIES) -> pa.RecordBatch:
     """One packed record for each bucket that has entries; make gets their positions."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
     used = np.flatnonzero(np.diff(cuts))
     blobs = [make(order[cuts[b] : cuts[b + 1]]) for b in used]
-    return pa.RecordBatch.from_arrays([pa.array(keys[used].astype(np.int32)), pa.array(np.full(len(used), settled)), pa.array(blobs, pa.binary())], names=["bucket", "settled", "payload"])
-
-
-def table(rows: np.ndarray, k: np.ndarray, h: np.ndarray):
-    """k and h of the rows in use, and each entry's place among them."""
-    used, place = np.unique(rows, return_inverse=True)
-    return k[used], h[used], place.astype("<u4")
+    return pa.RecordBatch.from_arrays([pa.array(keys[used].astype(np.int32)), pa.array(np.full(len(used), kind, np.int8)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "payload"])
 
 
 def groups(values: np.ndarray) -> np.ndarray:
@@ -302,18 +310,44 @@ def all_factors(how: Symbols, block: Block, mine: np.ndarray, again: np.ndarray,
 
 
 FOUND = "k long, h long, found binary"
-RECORD = "bucket int, settled boolean, payload binary"
+RECORD = "bucket int, kind tinyint, payload binary"
+#: Kinds of the columns that tell documents: number in the group of rows, group, and the key of the group in two parts.
+DOCUMENTS = [STEPS, STEPS, "<i8", "<i8"]
+
+
+class Group:
+    """Rows whose records are made together, and their key; equal rows have equal keys, whichever task makes them."""
 
+    def __init__(self, k: np.ndarray, h: np.ndarray) -> None:
+        self.k, self.h = k, h
+        self.key = k[:1], np.frombuffer(xxhash.xxh3_64_digest(k.tobytes() + h.tobytes()), "<i8")
 
-def for_documents(row: np.ndarray, values: np.ndarray, k: np.ndarray, h: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """Settled values, packed and dealt by the document of their row."""
-    bucket = (A.mix(k.view(np.uint64) ^ A.mix(h.view(np.uint64))) % A.U(len(keys))).astype(np.int64)
+    def keys_of_rows(self, keys: np.ndarray) -> pa.RecordBatch:
+        return dealt(bucket_of(*self.key, len(keys)), keys, lambda _: pack(self.k, self.h, *self.key), KEYS)
+
+    def documents(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Columns that tell these rows."""
+        return [steps(rows), steps(np.zeros(len(rows), np.int64)), *self.key]
+
+    def settled(self, row: np.ndarray, values: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return settled(row, values, np.arange(len(self.k)), np.zeros(len(self.k), np.int64), *self.key, keys)
+
+
+def bucket_of(gk: np.ndarray, gh: np.ndarray, n: int) -> np.ndarray:
+    return (A.mix(gk.view(np.uint64) ^ A.mix(gh.view(np.uint64))) % A.U(n)).astype(np.int64)
+
+
+def settled(document: np.ndarray, values: np.ndarray, rows: np.ndarray, group: np.ndarray, gk: np.ndarray, gh: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Settled values, packed and dealt by the group of their document's row."""
 
     def make(at: np.ndarray) -> bytes:
-        ks, hs, place = table(row[at], k, h)
-        return pack(values[at], place, ks, hs)
+        first = values["start"] if values.dtype.names else values
+        at = at[np.lexsort((first[at], document[at]))]
+        used, place = np.unique(document[at], return_inverse=True)
+        some, of = np.unique(group[used], return_inverse=True)
+        return pack(values[at], steps(place), steps(rows[used]), steps(of), gk[some], gh[some])
 
-    return dealt(bucket[row], keys, make, True)
+    return dealt(bucket_of(gk, gh, len(keys))[group[document]], keys, make, VALUES)
 
 
 def columns(batch: pa.RecordBatch):
@@ -331,14 +365,14 @@ def pivots(how: Symbols, keys: np.ndarray):
                 yield from one(k, h, data, offsets, *span)
 
     def one(k, h, data, offsets, low, high) -> Iterator[pa.RecordBatch]:
-        got = []
+        docs, got = Group(k[low:high], h[low:high]), []
         for i, j in A.slices(offsets[low : high + 1]):
             i, j = i + low, j + low
             base = offsets[i]
             symbols, by, _ = how.read(data[base : offsets[j]], offsets[i : j + 1] - base)
             first, count, pivot, row = stretches(symbols, by, how)
             own = self_repeating(symbols, first, count, how) if how.within else np.zeros(len(first), bool)
-            got.append((pivot, row + i, (first - by[row]).astype("<u4"), own))
+            got.append((pivot, row + (i - low), (first - by[row]).astype("<u4"), own))
         pivot, row, start, own = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(pivot, kind="stable")
         pivot, row, start, own = pivot[order], row[order], start[order], own[order]
@@ -349,9 +383,10 @@ def pivots(how: Symbols, keys: np.ndarray):
         if how.within:
             shared = (np.diff(np.r_[head, len(group)]) > 1) | np.logical_or.reduceat(own, head)
         else:
-            shared = np.minimum.reduceat(k[row], head) != np.maximum.reduceat(k[row], head)
+            shared = np.minimum.reduceat(docs.k[row], head) != np.maximum.reduceat(docs.k[row], head)
         here = shared[group]
-        yield for_documents(row[here], start[here], k, h, keys)
+        yield docs.keys_of_rows(keys)
+        yield docs.settled(row[here], start[here], keys)
         # one for each group that is settled; the others are of one document, and each must hear
         sent = ~here
         sent[head] = True
@@ -363,38 +398,40 @@ def pivots(how: Symbols, keys: np.ndarray):
         code = (mixed >> A.U(32)).astype("<u4")  # within a bucket; the rare clash only costs a candidate
 
         def make(at: np.ndarray) -> bytes:
-            ks, hs, place = table(row[at], k, h)
-            return pack(code[at], steps(place), steps(start[at]), shared[at], ks, hs)
+            used, place = np.unique(row[at], return_inverse=True)
+            return pack(code[at], steps(place), steps(start[at]), shared[at], far_steps(docs.k[used]), *docs.documents(used))
 
         yield dealt((mixed % A.U(len(keys))).astype(np.int64), keys, make)
 
     return run
 
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list, every: bool = False):
-    """Packed records of a partition, columns joined; the last two kinds are the tables of k and h, the one at index 1 points into them. Second result: records that were settled before."""
-    parts, base, settled = [], 0, []
+def gather(batches: Iterator[pa.RecordBatch], kinds: list, wanted: int = ENTRIES):
+    """Packed records of one kind in a partition, columns joined; the column at 1 points into those that tell documents, which end each record, and their third last column into the last two. Second result: records of other kinds."""
+    parts, documents, groups_, others = [], 0, 0, []
     for batch in batches:
-        done = np.asarray(batch.column(1))
-        if done.any() and not every:
-            settled.append(batch.filter(pa.array(done)))
-        for blob in batch.column(2) if every else batch.column(2).filter(pa.array(~done)):
-            part = unpack(blob.as_py(), kinds)
-            part[1] = part[1].astype(np.int64) + base
-            base += len(part[-1])
+        mine = np.asarray(batch.column(1)) == wanted
+        if not mine.all():
+            others.append(batch.filter(pa.array(~mine)))
+        for blob in batch.column(2).filter(pa.array(mine)):
+            part = unpack(blob.as_py(), kinds + DOCUMENTS)
+            part[1] = part[1].astype(np.int64) + documents
+            part[-3] = part[-3].astype(np.int64) + groups_
+            documents += len(part[-3])
+            groups_ += len(part[-1])
             parts.append(part)
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None, settled
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None, others
 
 
 def shared_pivots(how: Symbols, keys: np.ndarray):
     """Pass 1, reduce side: where the pivots are that occur in more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, settled = gather(batches, ["<u4", STEPS, STEPS, "?", "<i8", "<i8"])
-        yield from settled
+        got, others = gather(batches, ["<u4", STEPS, STEPS, "?", FAR_STEPS])
+        yield from others
         if got is None:
             return
-        pivot, row, start, known, k, h = got
+        pivot, row, start, known, k, *docs = got
         order = np.argsort(pivot, kind="stable")
         group, row, known = groups(pivot[order]), row[order], known[order]
         head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -404,19 +441,29 @@ def shared_pivots(how: Symbols, keys: np.ndarray):
         else:
             shared |= np.minimum.reduceat(k[row], head) != np.maximum.reduceat(k[row], head)
         here = shared[group] & ~known
-        yield for_documents(row[here], start[order][here], k, h, keys)
+        yield settled(row[here], start[order][here], *docs, keys)
 
     return run
 
 
 def by_document(kind):
-    """All settled values of each document, as one record (k, h, found)."""
+    """All settled values of each document in these groups, as one record (k, h, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, _ = gather(batches, [kind, "<u4", "<i8", "<i8"], True)
+        got, others = gather(batches, [kind, STEPS], VALUES)
         if got is None:
             return
-        values, entry, k, h = got
+        values, entry, number, group, gk, gh = got
+        begin, ks, hs, n = {}, [], [], 0
+        for blob in (blob for batch in others for blob in batch.column(2)):
+            one_k, one_h, *key = unpack(blob.as_py(), ["<i8"] * 4)
+            if (key := (int(key[0][0]), int(key[1][0]))) not in begin:
+                begin[key] = n
+                n += len(one_k)
+                ks.append(one_k)
+                hs.append(one_h)
+        at = np.array([begin[x] for x in zip(gk.tolist(), gh.tolist(), strict=True)])[group] + number
+        k, h = np.concatenate(ks)[at], np.concatenate(hs)[at]
         order = np.lexsort((h, k))
         fresh = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])]
         document = np.empty(len(k), np.int64)
@@ -455,7 +502,7 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
                 yield from one(k, h, data, offsets, wanted, *span)
 
     def one(k, h, data, offsets, wanted, low, high) -> Iterator[pa.RecordBatch]:
-        got = []
+        docs, got = Group(k[low:high], h[low:high]), []
         for i, j in A.slices(offsets[low : high + 1]):
             i, j = i + low, j + low
             base = offsets[i]
@@ -469,12 +516,13 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
                 low_byte, high_byte = first, first + count + how.length - 1
             else:
                 low_byte, high_byte = bounds[0][first], bounds[1][first + count + how.length - 2]
-            got.append((count, pivot, row + i, first - by[row], low_byte + base, high_byte - low_byte))
+            got.append((count, pivot, row + (i - low), first - by[row], low_byte + base, high_byte - low_byte))
         count, pivot, row, start, at, size = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(count):
             return
-        block, mine, again, *source, whole = looked_into(how, settle if how.early else unsettled, data[spread(at, size)], size, count, start, k[row])
-        yield for_documents(*all_factors(how, block, mine, again, source, whole, row, start, count, k[row]), k, h, keys)
+        block, mine, again, *source, whole = looked_into(how, settle if how.early else unsettled, data[spread(at, size)], size, count, start, docs.k[row])
+        yield docs.keys_of_rows(keys)
+        yield docs.settled(*all_factors(how, block, mine, again, source, whole, row, start, count, docs.k[row]), keys)
         left = np.flatnonzero(~again)
         if not len(left):
             return
@@ -486,9 +534,9 @@ def candidates(how: Symbols, keys: np.ndarray, settle):
         size = block.end[place[head] + count + how.length - 2] - low_byte
 
         def make(at: np.ndarray) -> bytes:
-            ks, hs, where = table(of[head[at]], k, h)
+            used, where = np.unique(of[head[at]], return_inverse=True)
             sizes = size[at].astype("<u4") if how.words else np.zeros(0, "<u4")  # else they follow from the counts
-            return pack(count[at].astype("<u4"), steps(where), steps(each[head[at]]), sizes, block.body[spread(low_byte[at], size[at])], ks, hs)
+            return pack(count[at].astype("<u4"), steps(where), steps(each[head[at]]), sizes, block.body[spread(low_byte[at], size[at])], far_steps(docs.k[used]), *docs.documents(used))
 
         yield dealt((A.mix(pivot[head]) % A.U(len(keys))).astype(np.int64), keys, make)
 
@@ -499,19 +547,24 @@ def resolved(how: Symbols, keys: np.ndarray, settle):
     """Pass 2, reduce side: windows that repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, settled = gather(batches, ["<u4", STEPS, STEPS, "<u4", "u1", "<i8", "<i8"])
-        yield from settled
+        got, others = gather(batches, ["<u4", STEPS, STEPS, "<u4", "u1", FAR_STEPS])
+        yield from others
         if got is None:
             return
-        count, row, start, size, body, k, h = got
+        count, row, start, size, body, k, *docs = got
         size = size if how.words else count + np.uint32(how.length - 1)
         key = k[row]
         block, mine, again, *source, whole = looked_into(how, settle, body, size, count, start, key)
-        yield for_documents(*all_factors(how, block, mine, again, source, whole, row, start, count, key), k, h, keys)
+        yield settled(*all_factors(how, block, mine, again, source, whole, row, start, count, key), *docs, keys)
 
     return run
 
 
+def once(found: DataFrame) -> DataFrame:
+    """One record a document: rows of equal id and text may stand in several groups, and each has the whole result."""
+    return found.groupBy("k", "h").agg(F.min("found").alias("found"))
+
+
 def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Applies finish to each document with the windows that settle marked.
 
@@ -525,9 +578,9 @@ def repeats(docs: DataFrame, how: Symbols, settle, finish, schema: str, id_colum
     keys = murmur_keys(n)
     kind = FACTOR if how.within else SPAN
     first = arrow_map(base, pivots(how, keys), RECORD).repartition(n, "bucket")
-    found = arrow_map(arrow_map(first, shared_pivots(how, keys), RECORD).repartition(n, "bucket"), by_document("<u4"), FOUND)
+    found = once(arrow_map(arrow_map(first, shared_pivots(how, keys), RECORD).repartition(n, "bucket"), by_document("<u4"), FOUND))
     second = arrow_map(base.join(found, ["k", "h"]), candidates(how, keys, settle), RECORD).repartition(n, "bucket")
-    marked = arrow_map(arrow_map(second, resolved(how, keys, settle), RECORD).repartition(n, "bucket"), by_document(kind), FOUND)
+    marked = once(arrow_map(arrow_map(second, resolved(how, keys, settle), RECORD).repartition(n, "bucket"), by_document(kind), FOUND))
     out = arrow_map(base.join(marked, ["k", "h"], "left"), finish, f"k long, none boolean, {schema}")
     return out.withColumn("k", F.when(~F.col("none"), F.col("k"))).drop("none").withColumnRenamed("k", id_column)
 
