@@ -177,8 +177,10 @@ def looked_into(how: Symbols, settle, body: np.ndarray, size: np.ndarray, count:
         first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])][group]
         same = (size[order] == size[first]) & equal_spans(body, cuts[order], cuts[first], size[first])
         whole[order] = np.where(same, first, order)
-    if not how.within:  # a document does not repeat itself
-        whole = np.where(key == key[whole], np.arange(len(size)), whole)
+    own = key == key[whole]  # a document does not repeat itself
+    if how.within:  # but for another place of it; the same place comes again with a repeated row
+        own &= start == start[whole]
+    whole = np.where(own, np.arange(len(size)), whole)
     mine = np.flatnonzero(whole == np.arange(len(size)))
     block = Block(how, body[spread(cuts[mine], size[mine])], size[mine], count[mine], start[mine], key[mine])
     return block, mine, *settle(block), np.where(whole == np.arange(len(size)), -1, whole)

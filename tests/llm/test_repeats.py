@@ -64,6 +64,28 @@ def test_byte_windows(docs):
     assert got == bytes_left([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_repeated_rows_in_several_groups(docs, monkeypatch):
+    """Every row of a document, whichever group it is in, has the document's whole result, and just once."""
+    monkeypatch.setattr(R, "GROUP_BYTES", 500)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    twice = docs.union(docs).union(docs).repartition(5)
+    words = [(r.doc_id, (r.n_words, r.n_removed, r.kept)) for r in substring.dedup(twice).collect()]
+    assert sorted(words) == sorted(3 * list(words_left(rows).items()))
+    found = [(r.doc_id, (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept))) for r in suffix.dedup(twice).collect()]
+    assert sorted(found) == sorted(3 * list(bytes_left(rows).items()))
+
+
+def test_packed_columns():
+    ids = np.array([-5, 3, R.LAST, -(1 << 63), 7], np.int64)
+    places = np.array([9, 2, 2, (1 << 31) + 5], np.int64)
+    docs = R.Group(ids, ids[::-1].copy())
+    used = np.array([1, 4])
+    got = R.unpack(R.pack(ids, R.steps(places), R.far_steps(ids), *docs.documents(used)), ["<i8", R.STEPS, R.FAR_STEPS, *R.DOCUMENTS])
+    assert [x.tolist() for x in got[:5]] == [ids.tolist(), places.tolist(), ids.tolist(), [1, 4], [0, 0]]
+    assert [x.tolist() for x in got[5:]] == [x.tolist() for x in R.Group(ids.copy(), ids[::-1].copy()).key]
+    assert docs.key[1] != R.Group(ids, ids).key[1]
+
+
 def test_digests(docs):
     got = {r.doc_id: r.kept_sha256 for r in suffix.digests(docs).collect()}
     assert got == {i: hashlib.sha256(x[3]).hexdigest() for i, x in bytes_left([(r.doc_id, r.text) for r in docs.collect()]).items()}
